@@ -334,15 +334,20 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return _run(encoded, "ids", ranks_path, pattern, "doc_id long, data binary", each)
 
 
-def round_trip(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256: digests of what `encode` and then `decode` give, in one pass."""
+def round_trip(documents: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256: digests of what `encode` and then `decode` give, in one pass; with the packed ids too, if asked for."""
 
     def each(codec: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, of_ids, of_bytes = [], [], []
+        n, of_ids, of_bytes, kept = [], [], [], []
         for ids in codec.encode_all(batch.column(1).to_pylist()):
             n.append(len(ids) // 4)
             of_ids.append(hashlib.sha256(ids).hexdigest())
             of_bytes.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-        return pa.record_batch([batch.column(0), pa.array(n, type=pa.int64()), pa.array(of_ids, type=pa.string()), pa.array(of_bytes, type=pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return _run(documents, "text", ranks_path, pattern, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", each)
+            if with_ids:
+                kept.append(ids)
+        columns = {"doc_id": batch.column(0), "n_tokens": pa.array(n, type=pa.int64()), "ids_sha256": pa.array(of_ids, type=pa.string()), "decoded_sha256": pa.array(of_bytes, type=pa.string())}
+        if with_ids:
+            columns["ids"] = pa.array(kept, type=pa.binary())
+        return pa.record_batch(list(columns.values()), names=list(columns))
+
+    return _run(documents, "text", ranks_path, pattern, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids, each)

@@ -152,6 +152,34 @@ def _merged(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "n_words").agg(united.alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
 
+def _indexes(items: DataFrame, broadcast_words: int) -> list:
+    """Broadcast indexes over all items, each of a bounded size."""
+    context = items.sparkSession.sparkContext
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = 1 + total // (2 * broadcast_words)  # a word and its gap have two bytes at least
+    out = []
+    for block in range(n):
+        own = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == block)
+        out.append(context.broadcast(Index([(r.item_id, r.text.encode()) for r in own.distinct().toLocalIterator()])))
+    return out
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """The rows of `documents` that hold no benchmark window, with all their columns."""
+    items = doc_columns(benchmark, "item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
+    at, out = documents.columns.index("text"), documents
+    for index in _indexes(items, broadcast_words):
+
+        def run(batches, index=index):
+            for batch in batches:
+                if batch.num_rows:
+                    hit = [s > 0 for b in _hits(index, pa.record_batch([batch.column(at)] * 2, names=["doc_id", "text"])) for s in b.column(2).value_lengths().to_pylist()]
+                    yield batch.filter(pa.array([not h for h in hit]))
+
+        out = out.mapInArrow(run, documents.schema)
+    return out
+
+
 def occurrences(documents: DataFrame, benchmark: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """doc_id, n_words, spans (ranges of words inside benchmark windows) and items (their ids) for every row of `documents` (doc_id, text), given `benchmark` (item_id, text).
 
@@ -163,14 +191,8 @@ def occurrences(documents: DataFrame, benchmark: DataFrame, broadcast_words: int
     """
     docs = doc_columns(documents, "doc_id", "text")
     items = doc_columns(benchmark, "item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
-    spark = docs.sparkSession
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = 1 + total // (2 * broadcast_words)  # a word and its gap have two bytes at least
-    found = []
-    for block in range(n):
-        own = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == block)
-        index = spark.sparkContext.broadcast(Index([(r.item_id, r.text.encode()) for r in own.distinct().toLocalIterator()]))
-        found.append(mapped(docs, ["doc_id", "text"], _SCHEMA, lambda batch, index=index: _hits(index, batch)))
+    found = [mapped(docs, ["doc_id", "text"], _SCHEMA, lambda batch, index=index: _hits(index, batch)) for index in _indexes(items, broadcast_words)]
+    n = len(found)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

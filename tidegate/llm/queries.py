@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, near_dup, substring_dedup
+from . import bpe, decontaminate, language_id, near_dup, substring_dedup
 
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -33,7 +33,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.evaluated(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_language_id": op4_language_id,
     "op8_byte_bpe": op8_byte_bpe,
     "op6_winnowing": op6_winnowing,
     "op1_substring_dedup": op1_substring_dedup,

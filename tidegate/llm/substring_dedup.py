@@ -141,6 +141,14 @@ def _cut_out(run: int):
     return each
 
 
+def _copies(documents: DataFrame) -> DataFrame:
+    """doc_id, at, size: the places of the copies to cut out of each document that has any."""
+    marks = mapped(documents.filter("doc_id IS NOT NULL"), ["doc_id", "text"], "doc_id long, at int, size int, again boolean, a long, b long", _marked)
+    shared = marks.groupBy("a", "b").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.max("again").alias("repeated")).filter("repeated OR first_doc < last_doc").select("a", "b", "first_doc")
+    copies = marks.join(shared, ["a", "b"]).filter("again OR doc_id <> first_doc")
+    return copies.groupBy("doc_id").agg(F.collect_list("at").alias("at"), F.collect_list("size").alias("size"))
+
+
 def deduplicated(documents: DataFrame, run: int = RUN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (byte ranges cut out) and text (what is left) for every row of `documents` (doc_id, text).
 
@@ -149,9 +157,22 @@ def deduplicated(documents: DataFrame, run: int = RUN) -> DataFrame:
     reason to cut another. Other columns are ignored; an empty table gives no rows.
     """
     docs = doc_columns(documents, "doc_id", "text")
-    marks = mapped(docs.filter("doc_id IS NOT NULL"), ["doc_id", "text"], "doc_id long, at int, size int, again boolean, a long, b long", _marked)
-    shared = marks.groupBy("a", "b").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.max("again").alias("repeated")).filter("repeated OR first_doc < last_doc").select("a", "b", "first_doc")
-    copies = marks.join(shared, ["a", "b"]).filter("again OR doc_id <> first_doc")
-    by_doc = copies.groupBy("doc_id").agg(F.collect_list("at").alias("at"), F.collect_list("size").alias("size"))
-    wide = docs.join(by_doc, "doc_id", "left")
+    wide = docs.join(_copies(docs), "doc_id", "left")
     return mapped(wide, ["doc_id", "text", "at", "size"], "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, text string", _cut_out(run))
+
+
+def with_cut_texts(documents: DataFrame, run: int = RUN) -> DataFrame:
+    """`documents` with all its columns, and the copies cut out of text; see `deduplicated`."""
+    names = documents.columns
+    copies = _copies(documents).toDF("cut_id", "cut_at", "cut_size")
+    wide = documents.join(copies, documents["doc_id"] == copies["cut_id"], "left").select(*[documents[n] for n in names], "cut_at", "cut_size")
+    each, at = _cut_out(run), names.index("text")
+
+    def cut(batches):
+        for batch in batches:
+            if batch.num_rows:
+                n = len(names)
+                (done,) = each(pa.record_batch([batch.column(names.index("doc_id")), batch.column(at), batch.column(n), batch.column(n + 1)], names=["doc_id", "text", "at", "size"]))
+                yield pa.record_batch([done.column(5) if i == at else batch.column(i) for i in range(n)], names=names)
+
+    return wide.mapInArrow(cut, documents.schema)
