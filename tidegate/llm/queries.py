@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language_id, near_dup, substring_dedup
+from . import bpe, decontaminate, language_id, near_dup, substring_dedup, top_k
 
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -37,7 +37,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.evaluated(_table(spark, sf_dir, "documents"))
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(_table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_exact_top_k": op10_exact_top_k,
     "op4_language_id": op4_language_id,
     "op8_byte_bpe": op8_byte_bpe,
     "op6_winnowing": op6_winnowing,
