@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language_id, near_dup, substring_dedup, top_k
+from . import bpe, decontaminate, hilbert, language_id, near_dup, substring_dedup, top_k
 
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -41,7 +41,12 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(_table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.hilbert_shards(_table(spark, sf_dir, "documents"), shards=24)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_hilbert_sharding": op3_hilbert_sharding,
     "op10_exact_top_k": op10_exact_top_k,
     "op4_language_id": op4_language_id,
     "op8_byte_bpe": op8_byte_bpe,
