@@ -3,13 +3,17 @@
 1. Each document becomes its set of distinct 5-word shingles (64-bit hashes), 128
    MinHash samples, 32 band keys of 4 samples each, and an odd sketch: each sample
    flips one bit of a 512-bit map, so that the XOR of two maps has about as many
-   ones as the samples in which the sets differ.
+   ones as the samples in which the sets differ. A second odd sketch, of 1024 bits, is
+   folded from all shingles: the ones of its XOR are never more than the shingles that
+   only one of two sets has, which rules pairs out with certainty.
 2. Equal sets become one representative first, so copies cost an aggregate only.
 3. Every representative is compared with the smallest one that shares a band with it,
    one comparison each; links found so are joined into classes.
 4. What is left are pairs of different classes in one band. Bands are cut into blocks
-   of bounded size, the blocks of a band are paired, and only pairs whose sketches
-   leave the similarity open are confirmed on whole sets. No partner is capped.
+   of bounded size and the blocks of a band are paired. First each member tries its
+   likeliest partner of another class only, which joins most of what belongs together;
+   then all pairs of different classes whose sketches leave the similarity open are
+   confirmed on whole sets. No partner is capped.
 
 A pair of similarity 0.85 shares no band with a chance below 1e-10, and the screen
 lies eight standard deviations under it.
@@ -29,6 +33,7 @@ SHINGLE = 5
 SAMPLES = 128
 BAND_ROWS = 4
 SKETCH_BITS = 512
+SET_BITS = 1024
 #: Pairs whose sketches put them below this are not confirmed.
 SCREEN = 0.6
 #: Members of a band that are compared in one go.
@@ -91,6 +96,7 @@ def _signatures(batch: pa.RecordBatch):
         digest = np.zeros((2, n), dtype=np.uint64)
         bands: list = [None] * n
         sketches: list = [None] * n
+        parities: list = [None] * n
         full = np.flatnonzero(sizes)
         if len(full):
             own = [sets[i] for i in full]
@@ -103,11 +109,13 @@ def _signatures(batch: pa.RecordBatch):
             for r in range(BAND_ROWS):
                 keys = mix(keys * _U(3) + samples[:, r::BAND_ROWS])
             keys = mix(keys + _SALTS[: keys.shape[1]])
-            for i, k, s in zip(full.tolist(), signed(keys), odd_sketches(samples), strict=True):
+            for i, k, s, own_set in zip(full.tolist(), signed(keys), odd_sketches(samples), own, strict=True):
                 bands[i], sketches[i] = k, s.tobytes()
+                flips = np.bincount((own_set >> _U(40)).astype(np.int64) % SET_BITS, minlength=SET_BITS)
+                parities[i] = np.packbits((flips & 1).astype(np.uint8)).tobytes()
         yield pa.record_batch(
-            [ids.slice(lo, n), pa.array(sizes), pa.array(signed(digest[0])), pa.array(signed(digest[1])), pa.array(bands, type=pa.list_(pa.int64())), pa.array(sketches, type=pa.binary())],
-            names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"],
+            [ids.slice(lo, n), pa.array(sizes), pa.array(signed(digest[0])), pa.array(signed(digest[1])), pa.array(bands, type=pa.list_(pa.int64())), pa.array(sketches, type=pa.binary()), pa.array(parities, type=pa.binary())],
+            names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch", "parity"],
         )
 
 
@@ -133,18 +141,61 @@ def _alike(percent: int):
     return each
 
 
-def _screened(batch: pa.RecordBatch):
-    x = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint64)
-    y = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint64)
-    ones = np.bitwise_count(x ^ y).reshape(batch.num_rows, -1).sum(axis=1)
-    yield batch.select([0, 1]).filter(pa.array(sketch_similarity(ones) >= SCREEN))
+def _open(ones: np.ndarray, odd: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs the ones of the XORs of their sketches and of their sets' parities, and the sum of their sizes, leave open."""
+    return (sketch_similarity(ones) >= SCREEN) & (odd * (100 + percent) <= sizes * (100 - percent))
+
+
+def _packed(values: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(values), dtype=np.uint64).reshape(len(values), -1)
+
+
+def _block_pairs(percent: int, best: bool):
+    def across(block: dict, other: dict, same: bool):
+        for i in range(len(block["rep"])):
+            ones = np.bitwise_count(other["sketch"] ^ block["sketch"][i]).sum(axis=1, dtype=np.int64)
+            odd = np.bitwise_count(other["parity"] ^ block["parity"][i]).sum(axis=1, dtype=np.int64)
+            sizes = other["n_shingles"] + block["n_shingles"][i]
+            ok = (other["component"] != block["component"][i]) & _open(ones, odd, sizes, percent)
+            if same and not best:
+                ok[: i + 1] = False
+            found = np.flatnonzero(ok)
+            if best and len(found):
+                found = found[[np.argmin((ones[found] + 1) * (odd[found] + 1) / sizes[found])]]
+            for j in found.tolist():
+                u, v = int(block["rep"][i]), int(other["rep"][j])
+                yield max(u, v), min(u, v)
+
+    def each(table: pa.Table) -> pa.Table:
+        part = table.column("part").to_numpy()
+        parts = []
+        for p in np.unique(part).tolist():
+            own = table.filter(pa.array(part == p))
+            parts.append({c: own.column(c).to_numpy() for c in ("rep", "component", "n_shingles")} | {c: _packed(own.column(c).to_pylist()) for c in ("sketch", "parity")})
+        found: set = set()
+        if table.column("a")[0].as_py() == table.column("b")[0].as_py():
+            found.update(across(parts[0], parts[0], True))
+        elif len(parts) == 2:
+            found.update(across(*parts, False))
+            if best:
+                found.update(across(*parts[::-1], False))
+        rows = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
+        return pa.table({"u": rows[:, 0].copy(), "v": rows[:, 1].copy()})
 
+    return each
+
+
+def _screened(percent: int):
+    def each(batch: pa.RecordBatch):
+        ones = np.bitwise_count(_packed(batch.column(2).to_pylist()) ^ _packed(batch.column(3).to_pylist())).sum(axis=1, dtype=np.int64)
+        odd = np.bitwise_count(_packed(batch.column(4).to_pylist()) ^ _packed(batch.column(5).to_pylist())).sum(axis=1, dtype=np.int64)
+        yield batch.select([0, 1]).filter(pa.array(_open(ones, odd, batch.column(6).to_numpy() + batch.column(7).to_numpy(), percent)))
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    return each
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) of representatives whose whole sets are alike enough."""
-    sketches = reps.select(F.col("rep").alias("id"), "sketch")
-    wide = pairs.join(sketches.toDF("u", "x"), "u").join(sketches.toDF("v", "y"), "v")
-    pairs = stored(mapped(wide, ["u", "v", "x", "y"], "u long, v long", _screened), "pairs")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
     texts = docs.join(wanted, "doc_id", "left_semi")
     sets = stored(mapped(texts, ["doc_id", "text"], "id long, shingles binary", _sets).dropDuplicates(["id"]), "sets")
@@ -152,32 +203,15 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int)
     return stored(mapped(wide, ["u", "v", "x", "y"], "u long, v long", _alike(percent)), "links")
 
 
-def _across(block: list[tuple], other: list[tuple] | None):
-    """Pairs of different classes whose sketches leave them open; `other` None: within the block."""
-    right = block if other is None else other
-    x = np.frombuffer(b"".join(r[2] for r in block), dtype=np.uint64).reshape(len(block), -1)
-    y = np.frombuffer(b"".join(r[2] for r in right), dtype=np.uint64).reshape(len(right), -1)
-    cx, cy = np.array([r[1] for r in block]), np.array([r[1] for r in right])
-    ux, uy = np.array([r[0] for r in block]), np.array([r[0] for r in right])
-    for i in range(len(block)):
-        ones = np.bitwise_count(y ^ x[i]).sum(axis=1)
-        ok = (cy != cx[i]) & (sketch_similarity(ones) >= SCREEN)
-        if other is None:
-            ok[: i + 1] = False
-        for j in np.flatnonzero(ok).tolist():
-            yield int(max(ux[i], uy[j])), int(min(ux[i], uy[j]))
-
-
-def _block_pairs(table: pa.Table) -> pa.Table:
-    by_part: dict[int, list[tuple]] = {}
-    for part, rep, comp, sketch in zip(*(table.column(c).to_pylist() for c in ("part", "rep", "component", "sketch")), strict=True):
-        by_part.setdefault(part, []).append((rep, comp, sketch))
-    parts = sorted(by_part)
-    found = _across(by_part[parts[0]], None if len(parts) == 1 else by_part[parts[1]])
-    if len(parts) == 1 and table.column("a")[0].as_py() != table.column("b")[0].as_py():
-        found = iter(())
-    found = list(found)
-    return pa.table({"u": pa.array([p[0] for p in found], type=pa.int64()), "v": pa.array([p[1] for p in found], type=pa.int64())})
+def _left_over(shared: DataFrame, reps: DataFrame, links: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Open pairs (u, v) of different classes in one band; `best`: for each member in each pair of blocks, the likeliest only."""
+    classes = components(links)
+    labelled = shared.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = labelled.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    left = labelled.join(mixed, "band").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    each = left.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select("band", F.least("part", "q").alias("a"), F.greatest("part", "q").alias("b"), "part", "rep", "component").join(reps.select("rep", "n_shingles", "sketch", "parity"), "rep")
+    return stored(each.groupBy("band", "a", "b").applyInArrow(_block_pairs(percent, best), "u long, v long").distinct(), "pairs")
 
 
 def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
@@ -192,26 +226,21 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     if not 80 <= percent <= 100:
         raise ValueError("percent must be 80 to 100")
     docs = doc_columns(documents, "doc_id", "text")
-    marks = stored(mapped(docs, ["doc_id", "text"], "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary", _signatures), "marks")
+    marks = stored(mapped(docs, ["doc_id", "text"], "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary, parity binary", _signatures), "marks")
     grouped = marks.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b")
-    reps = stored(grouped.agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch")), "reps")
+    firsts = [F.min_by(c, "doc_id").alias(c) for c in ("n_shingles", "bands", "sketch", "parity")]
+    reps = stored(grouped.agg(F.min("doc_id").alias("rep"), *firsts), "reps")
 
     in_bands = reps.select("rep", F.explode("bands").alias("band"))
     hubs = in_bands.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).filter("n > 1").select("band", "hub")
     shared = stored(in_bands.join(hubs, "band"), "shared")
     first = shared.groupBy("rep").agg(F.min("hub").alias("hub")).filter("hub < rep").select(F.col("rep").alias("u"), F.col("hub").alias("v"))
-    links = _confirmed(first, docs, reps, percent)
-    classes = stored(components(links), "classes")
-
-    labelled = shared.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = labelled.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    left = labelled.join(mixed, "band").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # A member of part p meets the pairs of blocks (p, q) and (q, p); a lone member of its band's blocks meets itself only.
-    each = left.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = each.select("band", F.least("part", "q").alias("a"), F.greatest("part", "q").alias("b"), "part", "rep", "component").join(reps.select("rep", "sketch"), "rep")
-    pairs = each.groupBy("band", "a", "b").applyInArrow(_block_pairs, "u long, v long").distinct()
-    more = _confirmed(pairs, docs, reps, percent)
-    joined = components(links.union(more))
+    marked = reps.select(F.col("rep").alias("id"), "sketch", "parity", "n_shingles")
+    wide = first.join(marked.toDF("u", "x", "xp", "xn"), "u").join(marked.toDF("v", "y", "yp", "yn"), "v")
+    links = _confirmed(stored(mapped(wide, ["u", "v", "x", "y", "xp", "yp", "xn", "yn"], "u long, v long", _screened(percent)), "pairs"), docs, percent)
+    for best in (True, False):
+        links = links.union(_confirmed(_left_over(shared, reps, links, percent, best), docs, percent))
+    joined = components(links)
 
     by_set = reps.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     rows = marks.select("doc_id", "n_shingles", "set_a", "set_b").join(by_set, ["set_a", "set_b"], "left")
