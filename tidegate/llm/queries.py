@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, hilbert, html_text, language_id, language_model, near_dup, substring_dedup, top_k
+from . import bpe, decontaminate, hilbert, html_text, language_id, language_model, near_dup, substring_dedup, suffix_dedup, top_k
 
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -53,7 +53,12 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scored(_table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op2_lm_scoring": op2_lm_scoring,
     "op9_wrapper_induction": op9_wrapper_induction,
     "op3_hilbert_sharding": op3_hilbert_sharding,
