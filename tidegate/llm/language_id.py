@@ -90,6 +90,8 @@ class Model:
         """Calibrated probabilities, a row for each text."""
         buckets = len(self.rows) - 1
         out = np.empty((len(texts), len(self.langs)))
+        if not self.langs:
+            return out
         for lo, hi in chunks(texts):
             grams, begins = subwords(texts[lo:hi], buckets)
             sums = np.zeros((hi - lo, len(self.langs)))
