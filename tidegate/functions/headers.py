@@ -13,13 +13,18 @@ from .binding import bound
 from .scalars import ascii_bytes, bytes_to_long, decode_decimal, is_decimal, sanitized, saturating_add
 
 
+def named(headers: Column, name: str) -> Column:
+    """All headers of a name, in order; null for null headers."""
+    return F.filter(headers, lambda h: h["key"] == name)
+
+
 def occurrences(headers: Column, name: str) -> Column:
-    return F.size(F.filter(F.coalesce(headers, F.expr("array()")), lambda h: h["key"] == name))
+    return F.greatest(F.coalesce(F.size(named(headers, name)), F.lit(0)), F.lit(0))
 
 
 def last_header(headers: Column, name: str) -> Column:
     """The last header struct of a name; null without one."""
-    return F.try_element_at(F.filter(headers, lambda h: h["key"] == name), F.lit(-1))
+    return F.try_element_at(named(headers, name), F.lit(-1))
 
 
 def conflicted(headers: Column, names: HeaderNames) -> Column:
@@ -48,8 +53,11 @@ def with_parse(records: DataFrame, now_ms: Column, options: RelayOptions) -> Dat
     timestamp if it has one, else from the clock; its range is checked before the past.
     """
     names, max_ms = options.names, F.lit(options.delay_max_ms).cast("bigint")
-    at, delay = last_header(F.col("headers"), names.deliver_at), last_header(F.col("headers"), names.delay_ms)
-    out = bound(records, {"_at": at, "_delay": delay, "_now": now_ms.cast("bigint"), "conflicted": conflicted(F.col("headers"), names)})
+    # Headers are searched once for each name; everything else is read from what was found.
+    found = bound(records, {"_ats": named(F.col("headers"), names.deliver_at), "_delays": named(F.col("headers"), names.delay_ms), "_now": now_ms.cast("bigint")})
+    n_at, n_delay = F.coalesce(F.size("_ats"), F.lit(0)), F.coalesce(F.size("_delays"), F.lit(0))
+    last = lambda c: F.try_element_at(F.col(c), F.lit(-1))
+    out = bound(found, {"_at": last("_ats"), "_delay": last("_delays"), "conflicted": ((n_at > 0) & (n_delay > 0)) | (n_at > 1) | (n_delay > 1)}).drop("_ats", "_delays")
     raw = F.when(F.col("_at").isNotNull(), F.col("_at.value")).otherwise(F.col("_delay.value"))
     name = F.when(F.col("_at").isNotNull(), F.lit(names.deliver_at)).otherwise(F.lit(names.delay_ms))
     out = bound(out, {"_raw": raw, "_name": name, "_latest": saturating_add(F.col("_now"), max_ms)})

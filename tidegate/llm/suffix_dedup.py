@@ -15,6 +15,10 @@ position of each new suffix follows from the symbols before its last place in th
 transform, its common prefixes from the smallest values back and forth to the same symbol.
 A window is repeated if a neighbour shares 400 bytes with it.
 
+All segments of a key hold its 200-byte string, and so does each of their windows. It enters
+the collection as a mark and the key's number, three symbols instead of 200; with it a
+window has 203. (Keys with a segment that holds the string twice go without the mark.)
+
 A part is bounded (`BLOCK` segments, twice that for pairs of blocks, of 600 bytes at most),
 so its files stay below `SPOOL` bytes and in memory.
 """
@@ -35,6 +39,9 @@ LENGTH = 400
 GRAM = 200
 BLOCK = 1024
 SPOOL = 64 << 20
+#: A mark and two digits stand for a key's string. UTF-8 has no byte from 0xF8 up.
+MARK = 0xFF
+DIGITS = 0xF0
 _SPAN = LENGTH - GRAM + 1
 _U = np.uint64
 
@@ -50,12 +57,7 @@ def _sliding(x: np.ndarray, width: int, low) -> np.ndarray:
 
 def segments(row: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """key, digest, start, size and whether a key's string stands in it twice, for each segment of a text of LENGTH bytes or more."""
-    data = np.frombuffer(row, dtype=np.uint8)
-    n = len(data)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(BYTE_VALUES[data] * _power_table("up", BASE, n)[:n], out=sums[1:])
-    down = _power_table("down", BASE_INVERSE, n)
-    grams = mix((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
+    grams, sums, down = _grams(np.frombuffer(row, dtype=np.uint8))
     keys = _sliding(grams, _SPAN, np.minimum)
     start = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
     size = np.diff(np.append(start, len(keys)))
@@ -65,7 +67,6 @@ def segments(row: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         start = np.repeat(start, more) + step * _SPAN
         size = np.diff(np.append(start, len(keys)))
     own = keys[start]
-    most = np.zeros(len(grams), dtype=np.uint64)
     padded = np.concatenate([np.zeros(_SPAN - 1, dtype=np.uint64), keys, np.zeros(_SPAN - 1, dtype=np.uint64)])
     most = _sliding(padded, _SPAN, np.maximum)
     places = np.flatnonzero(grams == most)
@@ -139,15 +140,58 @@ def _smallest(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
+class _Occurrences:
+    """Counts of each symbol up to each block of a transform, and from them ranks and the nearest equal symbols of some places."""
+
+    SHIFT = 6
+
+    def __init__(self, symbols: np.ndarray, alphabet: int, offsets: np.ndarray):
+        n, width = len(symbols), 1 << self.SHIFT
+        self.n, self.alphabet, self.blocks = n, alphabet, (n + width - 1) >> self.SHIFT
+        padded = np.full(self.blocks << self.SHIFT, np.iinfo(symbols.dtype).max, dtype=symbols.dtype)
+        padded[:n] = symbols
+        self.rows = padded.reshape(self.blocks, width)
+        self.held = np.bincount(offsets[:n] + symbols, minlength=self.blocks * alphabet).reshape(self.blocks, alphabet)
+        self.upto = self.held.cumsum(axis=0)
+        self.totals = self.upto[-1]
+        #: For each symbol but 0, the symbols below it, without 0.
+        self.below = np.cumsum(self.totals) - self.totals - self.totals[0]
+        self.flat = (self.upto.T + np.arange(alphabet)[:, None] * (n + 1)).ravel()
+        self.columns = np.arange(width)
+
+    def rank(self, at: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """How many of the same symbol come before each place."""
+        block = at >> self.SHIFT
+        before = self.columns < (at & (len(self.columns) - 1))[:, None]
+        return self.upto[block, own] - self.held[block, own] + np.count_nonzero((self.rows[block] == own[:, None]) & before, axis=1)
+
+    def nearest(self, at: np.ndarray, own: np.ndarray, nth: np.ndarray, ahead: bool) -> np.ndarray:
+        """The place of the same symbol nearest to each place, the nth of all (from 1)."""
+        block = np.searchsorted(self.flat, own.astype(np.int64) * (self.n + 1) + nth) - own.astype(np.int64) * self.blocks
+        equal = self.rows[block] == own[:, None]
+        column = (at & (len(self.columns) - 1))[:, None]
+        elsewhere = (block != at >> self.SHIFT)[:, None]
+        if ahead:
+            place = (equal & (elsewhere | (self.columns > column))).argmax(axis=1)
+        else:
+            place = len(self.columns) - 1 - (equal & (elsewhere | (self.columns < column)))[:, ::-1].argmax(axis=1)
+        return (block << self.SHIFT) + place
+
+
 def construct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The transform of a collection (symbols are bytes plus one, 0 ends a text) and the common prefixes of neighbours in suffix order."""
+    """The transform of a collection (0 ends a text, other symbols are its bytes, numbered from 1 in order) and the common prefixes of neighbours in suffix order."""
     m = len(texts)
-    flat = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int16) + 1
+    raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    letters = np.unique(raw)
+    kind = np.uint8 if len(letters) < 255 else np.uint16
+    number = np.zeros(256, dtype=kind)
+    number[letters] = np.arange(1, len(letters) + 1)
+    flat = number[raw]
     sizes = np.array([len(t) for t in texts])
     ends = np.cumsum(sizes)
-    kind = np.uint8 if flat.max(initial=0) < 256 else np.uint16
-    flat = flat.astype(kind)
     width = np.int16 if sizes.max(initial=0) < 2**15 - 1 else np.int32
+    alphabet = len(letters) + 1
+    offsets = (np.arange(len(raw) + m) >> _Occurrences.SHIFT) * alphabet
     everyone = np.arange(m)
 
     def preceding(j: np.ndarray, t: int) -> np.ndarray:
@@ -159,29 +203,18 @@ def construct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         alive = sizes[live] >= t
         live, at = live[alive], at[alive]
         symbols, shared = transform.read(), prefixes.read()
-        n = len(symbols)
-        order = np.argsort(symbols.astype(np.uint16), kind="stable")
+        seen = _Occurrences(symbols, alphabet, offsets)
         own = symbols[at]
-        begins = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=257))])
-        ended = int(begins[1])
-        i = np.empty(len(at), dtype=np.int64)
-        by_symbol = np.argsort(own, kind="stable")
-        bounds = np.flatnonzero(np.diff(own[by_symbol], prepend=0)).tolist()
-        for a, b in zip(bounds, [*bounds[1:], len(own)], strict=True):
-            some = by_symbol[a:b]
-            c = int(own[some[0]])
-            i[some] = begins[c] + np.searchsorted(order[begins[c] : begins[c + 1]], at[some])
-        to = m + i - ended
-        back, ahead = order[np.maximum(i - 1, 0)], order[np.minimum(i + 1, n - 1)]
-        has_back = (i > ended) & (symbols[back] == own)
-        has_ahead = (i + 1 < n) & (symbols[ahead] == own)
-        total = n + len(live)
+        rank = seen.rank(at, own)
+        to = m + seen.below[own] + rank
+        back, ahead = np.flatnonzero(rank > 0), np.flatnonzero(rank + 1 < seen.totals[own])
+        total = len(symbols) + len(live)
         old = np.ones(total, dtype=bool)
         old[to] = False
         new_shared = np.zeros(total, dtype=width)
         new_shared[old] = shared
-        new_shared[to[has_back]] = 1 + _smallest(shared, back[has_back] + 1, at[has_back])
-        new_shared[to[has_ahead] + 1] = 1 + _smallest(shared, at[has_ahead] + 1, ahead[has_ahead])
+        new_shared[to[back]] = 1 + _smallest(shared, seen.nearest(at[back], own[back], rank[back], False) + 1, at[back])
+        new_shared[to[ahead] + 1] = 1 + _smallest(shared, at[ahead] + 1, seen.nearest(at[ahead], own[ahead], rank[ahead] + 2, True))
         new_symbols = np.empty(total, dtype=kind)
         new_symbols[old] = symbols
         new_symbols[to] = preceding(live, t)
@@ -222,11 +255,31 @@ def united(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of the string of GRAM bytes at each place, and what it was made from."""
+    n = len(data)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(BYTE_VALUES[data] * _power_table("up", BASE, n)[:n], out=sums[1:])
+    down = _power_table("down", BASE_INVERSE, n)
+    return mix((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1]), sums, down
+
+
+def _marked(data: bytes, number: int) -> bytes:
+    """A segment with its key's string replaced by the mark and the key's number."""
+    at = int(_grams(np.frombuffer(data, dtype=np.uint8))[0].argmin())
+    return data[:at] + bytes((MARK, number // DIGITS, number % DIGITS)) + data[at + GRAM :]
+
+
 def _collected(table: pa.Table) -> pa.Table:
     rows: dict[tuple[int, int], bytes] = dict(zip(zip(table.column("key").to_pylist(), table.column("digest").to_pylist(), strict=True), table.column("data").to_pylist(), strict=True))
-    keys = sorted(rows)
+    names = sorted(rows)
+    texts, length = [rows[k] for k in names], LENGTH
+    numbers = {key: i for i, key in enumerate(dict.fromkeys(key for key, _ in names))}
+    if not table.column("any")[0].as_py() and len(numbers) < DIGITS**2:
+        texts = [_marked(text, numbers[key]) for text, (key, _) in zip(texts, names, strict=True)]
+        length = LENGTH - GRAM + 3
     out: dict[str, list] = {"key": [], "digest": [], "from": [], "to": []}
-    for (key, digest), starts in zip(keys, repeated_windows([rows[k] for k in keys], LENGTH), strict=True):
+    for (key, digest), starts in zip(names, repeated_windows(texts, length), strict=True):
         for a, b in united(starts, starts + LENGTH):
             for c, v in zip(out, (key, digest, a, b), strict=True):
                 out[c].append(v)
@@ -247,17 +300,20 @@ def _spans(docs: DataFrame) -> DataFrame:
 
     different = held.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.min_by("start", "doc_id").alias("start"), F.min("size").alias("size"), F.max("twice").alias("twice"))
     different = stored(different, "different")
-    by_key = different.groupBy("key").agg(F.count("*").alias("m"), F.max("twice").alias("any")).filter("m > 1 OR any").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    unclear = stored(different.join(by_key, "key"), "unclear")
+    by_key = different.groupBy("key").agg(F.count("*").alias("m"), F.max("twice").alias("any")).filter("m > 1 OR any").select("key", "any", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    unclear = stored(different.join(by_key.select("key"), "key"), "unclear")
     wanted = unclear.groupBy("doc_id").agg(*[F.collect_list(c).alias(c) for c in ("key", "digest", "start", "size")])
     sliced = mapped(named.join(wanted, "doc_id"), ["text", "key", "digest", "start", "size"], "key long, digest long, data binary", _sliced)
     parts = max(1, unclear.count() // (BLOCK // 2))
     placed = sliced.join(by_key, "key").withColumn("part", F.pmod("digest", F.col("blocks")).cast("int"))
     # One block: many keys make a collection. More: every two blocks of the key make one.
-    alone = placed.filter("blocks = 1").select(F.pmod(F.xxhash64("key"), F.lit(parts)).alias("group"), F.lit(-1).alias("a"), F.lit(-1).alias("b"), "key", "digest", "data")
+    alone = placed.filter("blocks = 1").select(F.pmod(F.xxhash64("key"), F.lit(parts)).alias("group"), F.lit(-1).alias("a"), F.lit(-1).alias("b"), "any", "key", "digest", "data")
     other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda q: q != F.col("part")))
-    paired = placed.filter("blocks > 1").withColumn("q", other).select(F.col("key").alias("group"), F.least("part", "q").alias("a"), F.greatest("part", "q").alias("b"), "key", "digest", "data")
-    found = alone.union(paired).groupBy("group", "a", "b").applyInArrow(_collected, "key long, digest long, `from` int, `to` int")
+    paired = placed.filter("blocks > 1").withColumn("q", other).select(F.col("key").alias("group"), F.least("part", "q").alias("a"), F.greatest("part", "q").alias("b"), "any", "key", "digest", "data")
+    # As many tasks as there is work for, however few bytes it has.
+    tasks = max(1, min(parts, 16 * docs.sparkSession.sparkContext.defaultParallelism))
+    spread = alone.union(paired).repartition(tasks, "group", "a", "b", "any")
+    found = spread.groupBy("group", "a", "b", "any").applyInArrow(_collected, "key long, digest long, `from` int, `to` int")
     copies = different.filter("n > 1").select("key", "digest", F.lit(0).alias("from"), F.col("size").alias("to"))
     ranges = held.join(found.union(copies), ["key", "digest"]).select("doc_id", (F.col("start") + F.col("from")).alias("from"), (F.col("start") + F.col("to")).alias("to"))
     return ranges.groupBy("doc_id").agg(F.collect_list("from").alias("from"), F.collect_list("to").alias("to"))

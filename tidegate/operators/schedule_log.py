@@ -120,6 +120,15 @@ def compacted(log: DataFrame) -> DataFrame:
     The entry with the largest source offset of each partition stays even if completed:
     later ADDs at or below it must still be ignored.
     """
-    top = log.filter("op = 'ADD'").groupBy("source_partition").agg(F.max("source_offset").alias("source_offset"))
-    keys = folded(log).select("source_partition", "source_offset").union(top)
-    return log.join(keys, ["source_partition", "source_offset"], "left_semi").select(*log.columns)
+    added, at = F.col("op") == "ADD", F.col("log_offset")
+    inserts = added & (F.col("seen").isNull() | (F.col("source_offset") > F.col("seen")))
+    entry = Window.partitionBy("source_partition", "source_offset")
+    marked = _with_seen(log).withColumns(
+        {
+            "_top": F.max(F.when(added, F.col("source_offset"))).over(Window.partitionBy("source_partition")),
+            "_first": F.min(F.when(inserts, at)).over(entry),
+            "_done": F.max(F.when(F.col("op") == "COMPLETE", at)).over(entry),
+        }
+    )
+    pending = F.col("_first").isNotNull() & (F.col("_done").isNull() | (F.col("_done") < F.col("_first")))
+    return marked.filter(pending | (F.col("source_offset") == F.col("_top"))).select(*log.columns)
