@@ -6,13 +6,13 @@ import random
 import re
 
 import pytest
+from brute import classes
 from pyspark.sql import functions as F
 
 from tidegate.llm import near_dup, substring_dedup, suffix_dedup
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string"
-LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 def words(rng, n, alphabet="abcdefghij"):
@@ -28,29 +28,6 @@ def clashing(df):
     return df.withColumns({c: F.lit(1) for c in ("bands", "rep", "key", "n", "component", "at", "size", "from", "spans")})
 
 
-def classes(rows, percent=85):
-    sets = {}
-    for i, text in rows:
-        w = re.split(rb"[ \t-\r]+", (text or "").encode().translate(LOWER))
-        w = [x for x in w if x]
-        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
-    parent = {i: i for i in sets}
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    ids = sorted(sets)
-    for k, i in enumerate(ids):
-        for j in ids[:k]:
-            both = len(sets[i] & sets[j])
-            if both and 100 * both >= percent * len(sets[i] | sets[j]):
-                a, b = root(i), root(j)
-                parent[max(a, b)] = min(a, b)
-    return {i: (len(sets[i]), root(i)) for i in ids}
-
-
 def test_near_duplicates_by_brute_force(spark):
     rng = random.Random(3)
     rows = []
