@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, hilbert, html_text, language_id, language_model, near_dup, substring_dedup, suffix_dedup, top_k
+from . import bpe, decontaminate, hilbert, html_text, language_id, language_model, near_dup, oracle, substring_dedup, suffix_dedup, top_k
 
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -70,4 +70,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash_near_dup": op5_minhash_near_dup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators hold what SQL can't: models, tokens, trees, checksums or rolling hashes. They are tested against plain versions.
+ORACLE_SQL: dict[str, str] = {
+    "op5_minhash_near_dup": oracle.NEAR_DUPLICATES,
+    "op6_winnowing": oracle.CONTAMINATION,
+    "op10_exact_top_k": oracle.TOP_K,
+}
