@@ -146,9 +146,13 @@ def train(texts: list[bytes], langs: list[str], buckets: int = BUCKETS, dimensio
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from rows of (text, lang); `sample` bounds the texts, whole ones, that it learns from."""
-    known = doc_columns(labelled, "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL AND lang <> ''")
-    picked = known.withColumn("at", F.xxhash64("text")).orderBy("at", "lang").limit(sample).collect()
+    """A model from rows of (text, lang); `sample` bounds the texts, whole ones, that it learns from.
+
+    Hashes choose the texts, and only the chosen texts leave the executors. Equal texts are one.
+    """
+    known = doc_columns(labelled, "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL AND lang <> ''").withColumn("at", F.xxhash64("text"))
+    last = known.select("at").distinct().orderBy("at").limit(sample).agg(F.max("at")).first()[0]
+    picked = [] if last is None else known.filter(F.col("at") <= last).groupBy("at").agg(F.min("text").alias("text"), F.min("lang").alias("lang")).orderBy("at").collect()
     return train([r.text.encode() for r in picked], [r.lang for r in picked])
 
 
