@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .shared import byte_rows, doc_columns, mapped
+from .shared import byte_rows, doc_columns
 
 #: Pieces whose encodings are remembered, and the longest piece that is.
 MEMORY = 400_000
