@@ -16,8 +16,8 @@ transform, its common prefixes from the smallest values back and forth to the sa
 A window is repeated if a neighbour shares 400 bytes with it.
 
 All segments of a key hold its 200-byte string, and so does each of their windows. It enters
-the collection as a mark and the key's number, three symbols instead of 200; with it a
-window has 203. (Keys with a segment that holds the string twice go without the mark.)
+the collection as a mark and the key's number, four symbols instead of 200; with it a
+window has 204. (Keys with a segment that holds the string twice go without the mark.)
 
 A part is bounded (`BLOCK` segments, twice that for pairs of blocks, of 600 bytes at most),
 so its files stay below `SPOOL` bytes and in memory.
@@ -39,9 +39,10 @@ LENGTH = 400
 GRAM = 200
 BLOCK = 1024
 SPOOL = 64 << 20
-#: A mark and two digits stand for a key's string. UTF-8 has no byte from 0xF8 up.
-MARK = 0xFF
-DIGITS = 0xF0
+#: A mark, which is no byte of UTF-8, and three digits stand for a key's string. The digits
+#: are letters that texts have anyway, so that the alphabet stays small.
+MARK = b"\xff"
+DIGITS = b"etaoinshrdlucmfw"
 _SPAN = LENGTH - GRAM + 1
 _U = np.uint64
 
@@ -143,7 +144,7 @@ def _smallest(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 class _Occurrences:
     """Counts of each symbol up to each block of a transform, and from them ranks and the nearest equal symbols of some places."""
 
-    SHIFT = 6
+    SHIFT = 7
 
     def __init__(self, symbols: np.ndarray, alphabet: int, offsets: np.ndarray):
         n, width = len(symbols), 1 << self.SHIFT
@@ -267,7 +268,8 @@ def _grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _marked(data: bytes, number: int) -> bytes:
     """A segment with its key's string replaced by the mark and the key's number."""
     at = int(_grams(np.frombuffer(data, dtype=np.uint8))[0].argmin())
-    return data[:at] + bytes((MARK, number // DIGITS, number % DIGITS)) + data[at + GRAM :]
+    n = len(DIGITS)
+    return data[:at] + MARK + bytes(DIGITS[number // n**k % n] for k in range(3)) + data[at + GRAM :]
 
 
 def _collected(table: pa.Table) -> pa.Table:
@@ -275,9 +277,9 @@ def _collected(table: pa.Table) -> pa.Table:
     names = sorted(rows)
     texts, length = [rows[k] for k in names], LENGTH
     numbers = {key: i for i, key in enumerate(dict.fromkeys(key for key, _ in names))}
-    if not table.column("any")[0].as_py() and len(numbers) < DIGITS**2:
+    if not table.column("any")[0].as_py() and len(numbers) <= len(DIGITS) ** 3:
         texts = [_marked(text, numbers[key]) for text, (key, _) in zip(texts, names, strict=True)]
-        length = LENGTH - GRAM + 3
+        length = LENGTH - GRAM + 4
     out: dict[str, list] = {"key": [], "digest": [], "from": [], "to": []}
     for (key, digest), starts in zip(names, repeated_windows(texts, length), strict=True):
         for a, b in united(starts, starts + LENGTH):
