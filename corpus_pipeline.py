@@ -13,6 +13,8 @@ from tidegate.llm.shared import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Similarity in percent from which the stage takes documents for near copies; op5's 85 is that query's alone.
+NEAR = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies, the document with the smallest doc_id stays."""
-    gone = near_dup.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
+    gone = near_dup.near_duplicates(docs, percent=NEAR).filter("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
