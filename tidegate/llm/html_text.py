@@ -2,14 +2,16 @@
 
 Each page becomes a tree of its block elements (tag and classes are the label; equal
 siblings, such as paragraphs, fall into one node), with the text that stands directly in
-each. The trees of a host are laid over each other by simple tree matching: the best
-ordered matching of children, recursively. A node that has the same text on all pages is
-template; a node whose text varies is a slot. The content root is the article or main
+each. Pages of a host with equal trees count once. The trees of a host are laid over each
+other by simple tree matching: the best ordered matching of children, recursively. A node
+that at least half of the host's different pages have, with the same text on all of them,
+is template; all others are slots. The content root is the article or main
 element with the most varying text, or else the deepest node that holds most of it; a
 page's main text are the blocks in slots below the root, without what its element or
 class names as menu, header, footer, sidebar, notice, advert, form or reader comments.
 
-Every page of a host takes part. Templates are merged within tasks first, then by host and
+Every page of a host takes part. Equal trees become one by a hash exchange; templates are
+merged within tasks first, then by host and
 slot, then by host, so that no host's pages meet in one task; a template's size depends on
 a host's layouts, not on its pages.
 """
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import doc_columns, stored
+from .shared import doc_columns, mapped, stored
 
 # Element names of HTML by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -45,9 +47,11 @@ CONTENT_WORDS = frozenset("content article post entry story main body text".spli
 IMPLIED = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 
 DEEPEST = 64
-#: Pages with the same text in a node that make it template; in an article or main element it takes more.
+#: Different pages with the same text in a node that make it template, at least; in an article or main element it takes more.
 CONSTANT = 3
 CONSTANT_INSIDE = 10
+#: Share of a host's different pages that a node of the template is on, at least.
+COMMON = 0.5
 SHARE = 0.6
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -264,28 +268,33 @@ def _is_main(node: Node) -> bool:
     return node.label.split(" ")[0] in ("article", "main")
 
 
-def _varying(node: Node) -> int:
-    own = node.mass if node.mark is None or node.pages < CONSTANT else 0
-    return own + sum(map(_varying, node.kids))
+def _is_template(node: Node, pages: int, least: int) -> bool:
+    """Whether a node is template on a host of so many different pages."""
+    return node.mark is not None and node.pages >= max(least, COMMON * pages)
+
+
+def _varying(node: Node, pages: int) -> int:
+    own = 0 if _is_template(node, pages, CONSTANT) else node.mass
+    return own + sum(_varying(k, pages) for k in node.kids)
 
 
 def content_root(tree: Node) -> Node:
     """The article or main element with the most varying text, or else the deepest node that holds most of it."""
-    todo, best = [tree], None
+    todo, best, pages = [tree], None, tree.pages
     while todo:
         node = todo.pop()
         if _is_main(node):
-            if best is None or _varying(node) > _varying(best):
+            if best is None or _varying(node, pages) > _varying(best, pages):
                 best = node
         else:
             todo += node.kids
-    if best is not None and best.mass + sum(k.mass for k in best.kids) + _varying(best):
+    if best is not None and best.mass + sum(k.mass for k in best.kids) + _varying(best, pages):
         return best
     node = tree
     while True:
-        whole = _varying(node)
-        kid = max(node.kids, key=_varying, default=None)
-        if kid is None or not whole or _varying(kid) < SHARE * whole or kid.label.split(" ")[0] in ("p", "li", "ul", "ol", "table", "td", "tr", "blockquote", "pre"):
+        whole = _varying(node, pages)
+        kid = max(node.kids, key=lambda k: _varying(k, pages), default=None)
+        if kid is None or not whole or _varying(kid, pages) < SHARE * whole or kid.label.split(" ")[0] in ("p", "li", "ul", "ol", "table", "td", "tr", "blockquote", "pre"):
             return node
         node = kid
 
@@ -311,8 +320,8 @@ def main_text(page: str, template: Node | None) -> str:
         below, least = _below(root), CONSTANT_INSIDE if _is_main(root) else CONSTANT
         for text, node in blocks:
             x = over.get(id(node))
-            # A node that no other page has is not template; it counts if it stands under the root.
-            if x is not None and id(x) in below and not (x.mark is not None and x.pages >= least):
+            # A node that few other pages have is not template; it counts if it stands under the root.
+            if x is not None and id(x) in below and not _is_template(x, template.pages, least):
                 kept.append(text)
     if not kept:
         below = _below(content_root(tree))
@@ -325,6 +334,16 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def _trees(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """(host, tree) of pages with any text, equal ones of a batch once."""
+    found: dict[tuple[str, str], None] = {}
+    for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        tree, blocks = parse(page or "")
+        if blocks:
+            found[name, json.dumps(tree.as_list())] = None
+    yield pa.record_batch([pa.array([n for n, _ in found], type=pa.string()), pa.array([t for _, t in found], type=pa.string())], names=["host", "tree"])
+
+
 def _dumped(templates: dict[str, Node]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(list(templates), type=pa.string()), pa.array([json.dumps(t.as_list()) for t in templates.values()], type=pa.string())], names=["host", "template"])
 
@@ -332,10 +351,9 @@ def _dumped(templates: dict[str, Node]) -> pa.RecordBatch:
 def _induced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[str, Node] = {}
     for batch in batches:
-        for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            tree, blocks = parse(page or "")
-            if blocks:
-                found[name] = merged(found[name], tree) if name in found else tree
+        for name, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            tree = Node.of(json.loads(own))
+            found[name] = merged(found[name], tree) if name in found else tree
             if len(found) > 2000:
                 yield _dumped(found)
                 found = {}
@@ -354,7 +372,8 @@ def _united(table: pa.Table) -> pa.Table:
 def templates(pages: DataFrame) -> DataFrame:
     """(host, template) for every host of `pages` (url, html)."""
     own = pages.select(host(pages["url"]).alias("host"), pages["html"])
-    parts = own.mapInArrow(_induced, "host string, template string").withColumn("slot", F.spark_partition_id() % 32)
+    trees = mapped(own, ["host", "html"], "host string, tree string", _trees).distinct()
+    parts = trees.sortWithinPartitions("host", "tree").mapInArrow(_induced, "host string, template string").withColumn("slot", F.spark_partition_id() % 32)
     some = parts.groupBy("host", "slot").applyInArrow(_united, "host string, template string")
     return some.groupBy("host").applyInArrow(_united, "host string, template string")
 
