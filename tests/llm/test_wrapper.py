@@ -23,3 +23,34 @@ def test_copies_of_a_page_are_no_template(spark):
         for i in range(30, 42):
             assert out[i] == "Copied\nCopied text\nfirst\nsecond\nWords"
             assert out[i + 12] == f"Copied\nCopied text {i - 30}\nfirst\nsecond\nWords"
+
+
+def test_pages_with_ids_of_their_own(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
+    for tag in ("article", "div"):
+        pages = []
+        for i, w in enumerate(words):
+            text = f"<p>Text {w} {'long ' * i}</p>"
+            inner = f"<h1 id='{w}'>Title {w}</h1><div class='note'>Follow us</div>" + (f"<section id='about-{w}'>{text}</section>" if tag == "article" else text)
+            pages.append(f"<html><body class='post-{i} {w}'><div id='left'><p>Box</p></div><{tag} id='post-{i}' class='post-{i} {'about-' + w if tag == 'article' else 'text'}'>{inner}</{tag}></body></html>")
+        out = extracted(spark, pages)
+        assert out == {i: f"Title {w}\nText {w} {'long ' * i}".strip() for i, w in enumerate(words)}
+
+
+def test_template_does_not_grow_with_ids():
+    def size(node):
+        return 1 + sum(map(size, node.kids))
+
+    def page(i):
+        own = "".join(chr(97 + int(c)) for c in str(i))
+        return html_text.parse(f"<body id=b{i} class=single-{own}><div id='{own}' class='box box-{i}'><h2 id='{own}'>A {i}</h2><p>b {i}</div><article id=post-{i} class='post tag-{own}'><p id={own}>c {i}</article></body>")[0]
+
+    template = page(0)
+    for i in range(1, 200):
+        html_text.merged(template, page(i))
+    assert size(template) == size(page(0))
+
+
+def test_ids_keep_siblings_apart(spark):
+    pages = [f"<body>{'<div id=left><p>Same news</p></div>' * (i % 3 > 0)}<div id=content><p>Text of page {i}</p></div></body>" for i in range(12)]
+    assert extracted(spark, pages) == {i: f"Text of page {i}" for i in range(12)}

@@ -1,14 +1,18 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-Each page becomes a tree of its block elements (tag and classes are the label; equal
-siblings, such as paragraphs, fall into one node), with the text that stands directly in
-each. Pages of a host with equal trees count once. The trees of a host are laid over each
+Each page becomes a tree of its block elements (tag and classes are the label, without
+words that bear a number; pages' articles match whatever their classes; equal siblings,
+such as paragraphs, fall into one node), with the text that stands directly in each. Ids
+keep siblings apart and decide between matchings that are equally good, but are no label,
+as they may be a page's own. Pages of a host with equal trees count once. The trees of a host are laid over each
 other by simple tree matching: the best ordered matching of children, recursively. A node
 that at least half of the host's different pages have, with the same text on all of them,
 is template; all others are slots. The content root is the article or main
 element with the most varying text, or else the deepest node that holds most of it; a
 page's main text are the blocks in slots below the root, without what its element or
 class names as menu, header, footer, sidebar, notice, advert, form or reader comments.
+A page that is left with no text by its template, such as one that is constant all over,
+is read alone: what those names don't leave out below its own root.
 
 Every page of a host takes part. Equal trees become one by a hash exchange; templates are
 merged within tasks first, then by host and
@@ -46,7 +50,16 @@ CONTENT_WORDS = frozenset("content article post entry story main body text".spli
 #: What a start tag of the first closes, if it is open and nearer than one of the last.
 IMPLIED = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 
+#: Elements whose classes are no part of the label: they often name a page's own post, tags and section.
+WHOLE = frozenset("html body article main".split())
+#: Elements that ids keep apart from their siblings.
+NAMED = frozenset("div section".split())
+
 DEEPEST = 64
+#: Siblings of one label that ids keep apart, at most; further ones fall into the last.
+SIBLINGS = 32
+#: What equal names add to a matching: less than any node, even where all siblings have it.
+SAME_NAME = 2.0**-20
 #: Different pages with the same text in a node that make it template, at least; in an article or main element it takes more.
 CONSTANT = 3
 CONSTANT_INSIDE = 10
@@ -57,41 +70,57 @@ SHARE = 0.6
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?=[\s=/]|\Z)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WORD = re.compile(r"[a-z]+")
+_DIGIT = re.compile(r"[0-9]")
 _IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED.items()}
 
 
 class Node:
-    """A node of a page's tree or of a template: `mark` is the text's hash, 0 for none, None if it varies."""
+    """A node of a page's tree or of a template: `mark` is the text's hash, 0 for none, None if it varies; `name` is empty if it varies."""
 
-    __slots__ = ("label", "kids", "pages", "mark", "mass")
+    __slots__ = ("label", "kids", "pages", "mark", "mass", "name")
 
-    def __init__(self, label: str, pages: int = 1):
-        self.label, self.kids, self.pages, self.mark, self.mass = label, [], pages, 0, 0
+    def __init__(self, label: str, pages: int = 1, name: str = ""):
+        self.label, self.kids, self.pages, self.mark, self.mass, self.name = label, [], pages, 0, 0, name
 
     def as_list(self) -> list:
-        return [self.label, self.pages, self.mark, self.mass, [k.as_list() for k in self.kids]]
+        return [self.label, self.pages, self.mark, self.mass, [k.as_list() for k in self.kids], self.name]
 
     @staticmethod
     def of(x: list) -> Node:
-        node = Node(x[0], x[1])
+        node = Node(x[0], x[1], x[5])
         node.mark, node.mass = x[2], x[3]
         node.kids = [Node.of(k) for k in x[4]]
         return node
 
 
-def _attributes(raw: str) -> tuple[str, str, bool]:
-    """class and id, role, and whether it is hidden."""
-    names, role, hidden = [], "", False
+def _attributes(raw: str) -> tuple[str, str, str, bool]:
+    """Classes, id, role, and whether it is hidden."""
+    classes, own, role, hidden = "", "", "", False
     if raw:
         for m in _ATTRIBUTE.finditer(raw):
             key, value = m[1].lower(), (m[2] or "").strip("\"'")
-            if key in ("class", "id"):
-                names.append(value.lower())
+            if key == "class":
+                classes = value.lower()
+            elif key == "id":
+                own = value.lower()
             elif key == "role":
                 role = value.lower()
             else:
                 hidden = hidden or key == "hidden" or value.lower() == "true"
-    return " ".join(names), role, hidden
+    return classes, own, role, hidden
+
+
+def _numberless(names: str) -> str:
+    """The words of an attribute that bear no digit."""
+    return " ".join(w for w in names.split() if not _DIGIT.search(w))
+
+
+def _label(tag: str, classes: str, own: str) -> tuple[str, str]:
+    """What nodes of pages match by, and what else keeps siblings apart."""
+    classes = _numberless(classes)
+    if tag in WHOLE:
+        return tag, classes
+    return f"{tag} {classes}" if classes else tag, _numberless(own) if tag in NAMED else ""
 
 
 def _left_out(tag: str, names: str, role: str, hidden: bool, inside: bool) -> bool:
@@ -176,8 +205,8 @@ def parse(page: str) -> tuple[Node, list[tuple[str, Node]]]:
                 if stack[k][0] in bounds:
                     break
         _, node, out, inside = stack[-1]
-        names, role, hidden = _attributes(m[3])
-        if not out and _left_out(tag, names, role, hidden, inside):
+        classes, own, role, hidden = _attributes(m[3])
+        if not out and _left_out(tag, f"{classes} {own}", role, hidden, inside):
             flush()
             out = True
         if tag in RAW:
@@ -192,8 +221,7 @@ def parse(page: str) -> tuple[Node, list[tuple[str, Node]]]:
         if tag in BLOCK:
             flush()
             if not out and len(stack) < DEEPEST:
-                label = f"{tag} {names}" if names else tag
-                node = next((k for k in node.kids if k.label == label), None) or _added(node, label)
+                node = _kid(node, *_label(tag, classes, own))
         stack.append((tag, node, out, inside or tag in ("article", "main") or role == "main"))
     flush()
     texts: dict[int, list[str]] = {}
@@ -207,15 +235,23 @@ def parse(page: str) -> tuple[Node, list[tuple[str, Node]]]:
     return root, blocks
 
 
-def _added(parent: Node, label: str) -> Node:
-    parent.kids.append(Node(label))
-    return parent.kids[-1]
+def _kid(parent: Node, label: str, name: str) -> Node:
+    """The child with this label and name, new if there is none."""
+    alike = [k for k in parent.kids if k.label == label]
+    found = next((k for k in alike if k.name == name), None)
+    if found is None and len(alike) >= SIBLINGS:
+        found = alike[-1]
+    if found is None:
+        found = Node(label, name=name)
+        parent.kids.append(found)
+    return found
 
 
-def matching(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
+def matching(a: Node, b: Node) -> tuple[float, list[tuple[Node, Node]]]:
     """Simple tree matching: the size of the best ordered matching of two trees with equal labels at the root, and its pairs of children."""
+    one = 1 + SAME_NAME if a.name and a.name == b.name else 1
     if not a.kids or not b.kids:
-        return 1, []
+        return one, []
     n, m = len(a.kids), len(b.kids)
     w = [[matching(x, y)[0] if x.label == y.label else 0 for y in b.kids] for x in a.kids]
     best = [[0] * (m + 1) for _ in range(n + 1)]
@@ -231,13 +267,14 @@ def matching(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
             i -= 1
         else:
             j -= 1
-    return 1 + best[n][m], pairs[::-1]
+    return one + best[n][m], pairs[::-1]
 
 
 def merged(a: Node, b: Node) -> Node:
     """`b` laid over the template `a`, which changes."""
     _, pairs = matching(a, b)
     a.pages += b.pages
+    a.name = a.name if a.name == b.name else ""
     a.mass += b.mass
     if a.mark != b.mark:
         a.mark = (a.mark or b.mark) if a.mark == 0 or b.mark == 0 else None
