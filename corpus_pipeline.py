@@ -24,9 +24,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies, the document with the smallest doc_id stays."""
-    gone = near_dup.near_duplicates(docs, percent=NEAR).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each class of near copies one row stays, that with the smallest doc_id; a row without doc_id only if no other of its class has one.
+
+    Every row is a document of its own here, so rows that repeat a doc_id, or have none,
+    are in a class as others are. Texts without words have no class: of those, rows that
+    repeat a doc_id go, and rows without one stay.
+    """
+    rows = stored(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = near_dup.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), percent=NEAR)
+    has_words = F.col("n_shingles") > 0
+    of = found.select(F.col("doc_id").alias("row"), has_words.alias("has_words"), F.when(has_words, F.col("component_id")).alias("class"))
+    named = rows.select("row", "doc_id").join(of, "row")
+    # What is one document: a class, or else a doc_id, or else a row.
+    wordless = F.when(~F.col("has_words"), F.col("doc_id"))
+    alone = F.when(~F.col("has_words") & F.col("doc_id").isNull(), F.col("row"))
+    named = stored(named.select("row", "doc_id", "class", wordless.alias("wordless"), alone.alias("alone")), "named")
+    first = F.min_by("row", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("row")
+    kept = named.groupBy("class", "wordless", "alone").agg(first).select("row")
+    gone = named.select("row").join(kept, "row", "left_anti")
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,13 @@ def test_near_copies_of_80_percent_go(spark):
     assert near_duplicates(spark, [(1, a), (2, b), (3, c)]) == [(1, a), (3, c)]
 
 
+def test_repeated_and_null_ids(spark):
+    a, b, c, d = (" ".join(words(k)) for k in "abcd")
+    near = c.replace("c50 ", "other ")
+    rows = [(7, a), (3, a), (3, a), (None, a), (None, b), (None, b), (5, near), (None, c), (6, d), (6, d), (None, None), (9, None), (9, None)]
+    assert near_duplicates(spark, rows) == [(3, a), (5, near), (6, d), (9, None), (None, None), (None, b)]
+
+
 def test_rows_by_brute_force_at_80(spark, monkeypatch):
     monkeypatch.setattr(test_pipeline, "classes", partial(classes, percent=80))
     test_pipeline.test_rows_by_brute_force(spark)
