@@ -37,7 +37,11 @@ def sidecar_prefix(pending: DataFrame, text_budget: int, cluster_id_bytes: int =
 
 def committed_cursor(pending: DataFrame, positions: DataFrame, text_budget: int, cluster_id_bytes: int = 0) -> DataFrame:
     """source_partition, cursor_offset, pinned: the live position if all entries fit, else the log offset of the first that doesn't. `positions`: (source_partition, position, last_safe); the cursor never goes back behind last_safe."""
-    marked = sidecar_prefix(pending, text_budget, cluster_id_bytes)
+    # An entry has four bytes at least, so the one that doesn't fit is among the first of these; no window goes further.
+    most = raw_budget(text_budget) // 4 + 1
+    own = Window.partitionBy("source_partition").orderBy("log_offset")
+    first = pending.withColumn("_n", F.row_number().over(own)).filter(F.col("_n") <= most).drop("_n")
+    marked = sidecar_prefix(first, text_budget, cluster_id_bytes)
     stops = marked.groupBy("source_partition").agg(F.min(F.when(~F.col("fits"), F.col("log_offset"))).alias("stop"), F.count_if("fits").alias("pinned"))
     out = positions.join(stops, "source_partition", "left")
     wanted = F.coalesce("stop", "position")

@@ -25,14 +25,22 @@ def runs(batch: DataFrame) -> DataFrame:
     return batch.withColumn("first_pos", first).withColumn("run_no", F.dense_rank().over(Window.orderBy("first_pos"))).drop("first_pos")
 
 
-def refetched(batch: DataFrame, source: DataFrame) -> DataFrame:
+#: Pointers that go to every task of the payload scan, at most: some megabytes.
+BROADCAST_POINTERS = 100_000
+
+
+def refetched(batch: DataFrame, source: DataFrame, most: int | None = None) -> DataFrame:
     """`batch` with the payload of each pointer, columns of `source` but the position; nulls and found = false without one.
 
-    Partition and offset bounds of the batch aren't collected: the batch is the small side
-    of the join, and its keys prune the source at run time where they can.
+    `most` bounds the batch's rows, as its poll does. Up to BROADCAST_POINTERS the pointers go
+    to the source's scan, and no payload but those found is moved; beyond, or with no
+    bound given, the source is shuffled by position.
     """
+    position = ["source_partition", "source_offset"]
     payload = source.select(F.col("partition").alias("source_partition"), F.col("offset").alias("source_offset"), *[c for c in source.columns if c not in ("partition", "offset")], F.lit(True).alias("found"))
-    return batch.join(payload, ["source_partition", "source_offset"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    if most is not None and most <= BROADCAST_POINTERS:
+        payload = payload.join(F.broadcast(batch.select(*position)), position, "left_semi")
+    return batch.join(payload, position, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def with_outcome(fetched: DataFrame, starts: DataFrame, scanned_to: Column | None = None) -> DataFrame:

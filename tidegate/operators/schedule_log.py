@@ -23,6 +23,22 @@ def adds(decided: DataFrame) -> DataFrame:
     return decided.filter("action IN ('SCHEDULE', 'CLAMP')").select(F.col("partition").alias("source_partition"), F.lit("ADD").alias("op"), F.col("offset").alias("source_offset"), "dispatch_at_ms", "clamped", F.lit(None).cast("string").alias("reason"))
 
 
+#: Log offsets that a batch has for itself.
+BATCH_OFFSETS = 1 << 40
+
+
+def appended(entries: DataFrame, batch_id: int) -> DataFrame:
+    """Entries of one ingest batch with their log offsets: by batch, then source offset, which ascend together."""
+    own = Window.partitionBy("source_partition").orderBy("source_offset")
+    return entries.withColumn("log_offset", F.lit(batch_id * BATCH_OFFSETS).cast("bigint") + F.row_number().over(own))
+
+
+def appended_after(entries: DataFrame, ends: DataFrame) -> DataFrame:
+    """Entries with log offsets behind each partition's end, from (source_partition, high_watermark); a batch of completions is bounded by its poll."""
+    own = Window.partitionBy("source_partition").orderBy("source_offset")
+    return entries.join(ends, "source_partition").withColumn("log_offset", F.col("high_watermark") + F.row_number().over(own) - 1).drop("high_watermark")
+
+
 def encoded(log: DataFrame, reason_header: str) -> DataFrame:
     """source_partition, log_offset, key, value and headers: 12 bytes for an ADD, a null value and a reason header for a COMPLETE."""
     head = F.hex(F.lit(MAGIC << 24 | VERSION << 16 | TYPE_ADD << 8) + F.when(F.col("clamped"), FLAG_CLAMPED).otherwise(0))
@@ -74,35 +90,58 @@ def decoded(wire: DataFrame, reason_header: str) -> DataFrame:
 
 
 def known_reason(reason: Column) -> Column:
+    """Whether a completion's reason is one of ours; it completes either way."""
     return reason.isin(*COMPLETION_REASONS)
 
 
-def _with_seen(log: DataFrame) -> DataFrame:
-    """The log with the largest source offset added before each entry in its partition."""
-    before = Window.partitionBy("source_partition").orderBy("log_offset").rowsBetween(Window.unboundedPreceding, -1)
-    return log.withColumn("seen", F.max(F.when(F.col("op") == "ADD", F.col("source_offset"))).over(before))
-
+#: Log offsets that one window goes over, at most; a partition's log is cut into ranges of as many.
+RANGE = 1 << 20
 
-def folded(log: DataFrame) -> DataFrame:
-    """Pending entries: source_partition, source_offset, log_offset, dispatch_at_ms, clamped.
 
-    An ADD of a source offset above all seen before in its partition inserts. A further
-    ADD of a pending offset changes due time and flag but keeps the first log offset; any
-    other ADD is ignored. A COMPLETE removes an entry inserted earlier; a completed one
-    never returns.
+def _with_seen(log: DataFrame, span: int = RANGE) -> DataFrame:
+    """The log with the largest source offset added before each entry in its partition.
 
-    One window on the partition's log order decides what inserts; all else is one
-    aggregate by (partition, source offset), with partial results in the map tasks.
+    A running maximum, but not over a whole partition in one task: each range of log offsets
+    has its largest, a window over those few rows has the largest before each range, and
+    a window within each range has the rest. The last window and the join share one exchange.
     """
+    added = F.when(F.col("op") == "ADD", F.col("source_offset"))
+    ranged = log.withColumn("_range", F.floor(F.col("log_offset") / F.lit(span)))
+    tops = ranged.groupBy("source_partition", "_range").agg(F.max(added).alias("_most"))
+    earlier = Window.partitionBy("source_partition").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("source_partition", "_range", F.max("_most").over(earlier).alias("_before"))
+    before = Window.partitionBy("source_partition", "_range").orderBy("log_offset").rowsBetween(Window.unboundedPreceding, -1)
+    wide = ranged.join(tops, ["source_partition", "_range"])
+    return wide.withColumn("seen", F.greatest(F.max(added).over(before), "_before")).select(*log.columns, "seen")
+
+
+def _entries(log: DataFrame, span: int) -> DataFrame:
+    """By (partition, source offset): where it was inserted, its newest due time and flag, and where it was completed last."""
     added, at = F.col("op") == "ADD", F.col("log_offset")
     inserts = added & (F.col("seen").isNull() | (F.col("source_offset") > F.col("seen")))
-    by_key = _with_seen(log).groupBy("source_partition", "source_offset").agg(
+    return _with_seen(log, span).groupBy("source_partition", "source_offset").agg(
         F.min(F.when(inserts, at)).alias("log_offset"),
         F.max_by("dispatch_at_ms", F.when(added, at)).alias("dispatch_at_ms"),
         F.max_by("clamped", F.when(added, at)).alias("clamped"),
         F.max(F.when(F.col("op") == "COMPLETE", at)).alias("done_at"),
     )
-    return by_key.filter("log_offset IS NOT NULL AND (done_at IS NULL OR done_at < log_offset)").drop("done_at")
+
+
+_PENDING = "log_offset IS NOT NULL AND (done_at IS NULL OR done_at < log_offset)"
+
+
+def folded(log: DataFrame, span: int = RANGE) -> DataFrame:
+    """Pending entries: source_partition, source_offset, log_offset, dispatch_at_ms, clamped.
+
+    An ADD of a source offset above all seen before in its partition inserts. A further
+    ADD of a pending offset changes due time and flag but keeps the first log offset; any
+    other ADD is ignored. A COMPLETE removes an entry inserted earlier; a completed one
+    never returns. CANCEL and INVALID entries change nothing.
+
+    Windows over ranges of a partition's log decide what inserts; all else is one
+    aggregate by (partition, source offset), with partial results in the map tasks.
+    """
+    return _entries(log, span).filter(_PENDING).drop("done_at")
 
 
 def anomalies(log: DataFrame) -> DataFrame:
@@ -114,21 +153,13 @@ def high_watermarks(log: DataFrame) -> DataFrame:
     return log.groupBy("source_partition").agg((F.max("log_offset") + 1).alias("high_watermark"))
 
 
-def compacted(log: DataFrame) -> DataFrame:
+def compacted(log: DataFrame, span: int = RANGE) -> DataFrame:
     """The log of pending entries only; it folds to the same pending entries.
 
     The entry with the largest source offset of each partition stays even if completed:
-    later ADDs at or below it must still be ignored.
+    later ADDs at or below it must still be ignored. The fold's aggregate names what stays;
+    a semi join keeps it.
     """
-    added, at = F.col("op") == "ADD", F.col("log_offset")
-    inserts = added & (F.col("seen").isNull() | (F.col("source_offset") > F.col("seen")))
-    entry = Window.partitionBy("source_partition", "source_offset")
-    marked = _with_seen(log).withColumns(
-        {
-            "_top": F.max(F.when(added, F.col("source_offset"))).over(Window.partitionBy("source_partition")),
-            "_first": F.min(F.when(inserts, at)).over(entry),
-            "_done": F.max(F.when(F.col("op") == "COMPLETE", at)).over(entry),
-        }
-    )
-    pending = F.col("_first").isNotNull() & (F.col("_done").isNull() | (F.col("_done") < F.col("_first")))
-    return marked.filter(pending | (F.col("source_offset") == F.col("_top"))).select(*log.columns)
+    tops = log.filter("op = 'ADD'").groupBy("source_partition").agg(F.max("source_offset").alias("source_offset"))
+    stays = _entries(log, span).filter(_PENDING).select("source_partition", "source_offset").union(tops)
+    return log.join(stays, ["source_partition", "source_offset"], "left_semi").select(*log.columns)

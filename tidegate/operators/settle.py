@@ -29,6 +29,12 @@ def settlements(outcomes: DataFrame, options: RelayOptions, rejected: Column | N
     return out.withColumn("reason", reason).drop("_bad")
 
 
+def with_refused(outcomes: DataFrame, refused: DataFrame) -> DataFrame:
+    """`outcomes` with rejected: whether the position is among those (source_partition, source_offset) that the destination is known to refuse."""
+    known = refused.select("source_partition", "source_offset").distinct().withColumn("rejected", F.lit(True))
+    return outcomes.join(known, ["source_partition", "source_offset"], "left").withColumn("rejected", F.coalesce("rejected", F.lit(False)))
+
+
 def completions(settled: DataFrame) -> DataFrame:
     """COMPLETE entries for the log, without a log offset yet; carried entries leave none."""
     return settled.filter("reason IS NOT NULL").select("source_partition", F.lit("COMPLETE").alias("op"), "source_offset", F.lit(None).cast("bigint").alias("dispatch_at_ms"), F.lit(None).cast("boolean").alias("clamped"), "reason")

@@ -18,12 +18,12 @@ from ..operators import cursor, due, fetch, policy, relay, schedule_log, settle
 from ..sources import events
 from . import drain
 
-#: The longest delay of the queries, the clock of dispatch (half of the events are before it), and sizes of a batch.
+#: The longest delay of the queries and the clock of dispatch (half of the events are before it); sizes of a batch, as in production.
 DELAY_MAX = 300_000
 NOW = 1_705_363_200_000
-MOST = 500
-BUDGET = 1_500
-SIDECAR = 600
+MOST = 10_000
+BUDGET = 32 << 20
+SIDECAR = 3_072
 HIGH, CAP = 100, 2_000
 LOST_BELOW = 100
 
@@ -67,11 +67,16 @@ def _batch(s: SparkSession, d: str) -> DataFrame:
 
 def _outcomes(s: SparkSession, d: str) -> DataFrame:
     source = _kept_source(s, d)
-    return fetch.with_outcome(fetch.refetched(_batch(s, d), source), fetch.log_starts(source))
+    return fetch.with_outcome(fetch.refetched(_batch(s, d), source, MOST), fetch.log_starts(source))
 
 
-def _settled(s: SparkSession, d: str) -> DataFrame:
-    return drain.dispatch(_log(s, d), _kept_source(s, d), F.lit(NOW), DLQ, MOST, BUDGET)
+def _settled(s: SparkSession, d: str, options: RelayOptions = DLQ, refused: DataFrame | None = None) -> DataFrame:
+    return drain.dispatch(_log(s, d), _kept_source(s, d), F.lit(NOW), options, MOST, BUDGET, refused=refused)
+
+
+def _refused(s: SparkSession, d: str) -> DataFrame:
+    """Positions that the destination is known to refuse."""
+    return _source(s, d).filter("offset % 7 = 3").select(F.col("partition").alias("source_partition"), F.col("offset").alias("source_offset"))
 
 
 def _positions(s: SparkSession, d: str) -> DataFrame:
@@ -307,6 +312,20 @@ def dlq_payload_expired(s, d):
     return _flat(relay.payload_expired_dlq(gone, events.TOPIC, F.lit(NOW), DLQ)).select("source_partition", "source_offset", "out_ts_ms", "value", "headers")
 
 
+@query(
+    "dlq_unrelayable",
+    _CUT,
+    f"SELECT c.p AS source_partition, c.o AS source_offset, CAST({NOW} AS BIGINT) AS out_ts_ms, CAST(s.user_id AS VARCHAR) AS key, s.props AS value, "
+    + _ALL.replace("event_", "s.event_").replace("ts_ms", "s.ts_ms").replace("delay)", "s.delay)").replace("|| delay", "|| s.delay")
+    + " || ';relay-error-reason=unrelayable;relay-error-detail=the destination refuses the record;' || "
+    + _PROV.format(now=NOW).replace("|| p ||", "|| s.p ||").replace("|| o ||", "|| s.o ||").replace("ts_ms", "s.ts_ms")
+    + " AS headers FROM cut c JOIN src s ON s.p = c.p AND s.o = c.o WHERE outcome = 'FOUND' AND c.o % 7 = 3",
+)
+def dlq_unrelayable(s, d):
+    out = drain.settled_outputs(_settled(s, d, DLQ, _refused(s, d)).filter("route = 'DLQ_UNRELAYABLE'"), events.TOPIC, F.lit(NOW), DLQ)
+    return _flat(out["dlq"]).select("source_partition", "source_offset", "out_ts_ms", "key", "value", "headers")
+
+
 @query("record_bytes", _SRC, 'SELECT p AS "partition", o AS "offset", bytes FROM src')
 def record_bytes(s, d):
     return _source(s, d).select("partition", "offset", policy.record_bytes(F.col("key"), F.col("value")).alias("bytes"))
@@ -355,6 +374,19 @@ def schedule_log_adds(s, d):
     return schedule_log.adds(_decided(s, d, CLAMP)).select("source_partition", "source_offset", "dispatch_at_ms", "clamped")
 
 
+@query(
+    "ingest_batches_fold",
+    _decided_sql(over_max="CLAMP"),
+    "SELECT p AS source_partition, o AS source_offset, least(o // 800, 2) * 1099511627776 + row_number() OVER (PARTITION BY p, least(o // 800, 2) ORDER BY o) AS log_offset, due AS dispatch_at_ms, clamped FROM decided WHERE action IN ('SCHEDULE', 'CLAMP')",
+)
+def ingest_batches_fold(s, d):
+    """Three batches as ingest appends them: all that they schedule is pending."""
+    decided = _decided(s, d, CLAMP)
+    number = F.least(F.expr("offset div 800"), F.lit(2))
+    parts = [schedule_log.appended(schedule_log.adds(decided.filter(number == k)), k) for k in range(3)]
+    return schedule_log.folded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
 @query("log_codec_roundtrip", _LOG, f"SELECT {_LOG_COLUMNS} FROM log")
 def log_codec_roundtrip(s, d):
     return schedule_log.decoded(schedule_log.encoded(_log(s, d), "reason"), "reason").drop("detail")
@@ -509,7 +541,7 @@ def fetch_runs(s, d):
 
 @query("payload_refetch", _BATCH, f"SELECT b.p AS source_partition, b.o AS source_offset, s.o IS NOT NULL AS found, CAST(s.user_id AS VARCHAR) AS key, s.props AS value FROM batch b LEFT JOIN (SELECT * FROM src WHERE o >= {LOST_BELOW}) s ON s.p = b.p AND s.o = b.o")
 def payload_refetch(s, d):
-    return fetch.refetched(_batch(s, d), _kept_source(s, d)).select("source_partition", "source_offset", "found", F.decode("key", "UTF-8").alias("key"), F.decode("value", "UTF-8").alias("value"))
+    return fetch.refetched(_batch(s, d), _kept_source(s, d), MOST).select("source_partition", "source_offset", "found", F.decode("key", "UTF-8").alias("key"), F.decode("value", "UTF-8").alias("value"))
 
 
 @query("fetch_outcomes", _FETCH, "SELECT p AS source_partition, o AS source_offset, outcome AS fetch_outcome, n_bytes AS bytes FROM fetched")
@@ -532,6 +564,31 @@ def settlements(s, d):
     return _settled(s, d).select("source_partition", "source_offset", "route", "reason")
 
 
+def _routes(gone: str, refused: str) -> str:
+    bad = "outcome = 'FOUND' AND o % 7 = 3"
+    route = f"CASE WHEN {bad} THEN '{refused}' WHEN outcome = 'FOUND' THEN 'RELAY' WHEN outcome = 'GONE' THEN '{gone}' ELSE 'CARRY' END"
+    reason = {"DLQ_EXPIRED": "'PAYLOAD_MISSING_DLQ'", "DROP": "'DROPPED'", "FAIL": "NULL"}[gone]
+    refusal = "NULL" if refused == "FAIL" else "'REJECTED'"
+    return f"SELECT p AS source_partition, o AS source_offset, {route} AS route, CASE WHEN {bad} THEN {refusal} WHEN outcome = 'FOUND' THEN 'DISPATCHED' WHEN outcome = 'GONE' THEN {reason} END AS reason FROM cut"
+
+
+@query("settlements_drop", _CUT, _routes("DROP", "DROP"))
+def settlements_drop(s, d):
+    options = RelayOptions(delay_max_ms=DELAY_MAX, on_unfetchable="DROP", on_unrelayable="DROP")
+    return _settled(s, d, options, _refused(s, d)).select("source_partition", "source_offset", "route", "reason")
+
+
+@query("settlements_fail", _CUT, _routes("FAIL", "FAIL"))
+def settlements_fail(s, d):
+    options = RelayOptions(delay_max_ms=DELAY_MAX, on_unfetchable="FAIL", on_unrelayable="FAIL")
+    return _settled(s, d, options, _refused(s, d)).select("source_partition", "source_offset", "route", "reason")
+
+
+@query("rejected_keys", _CUT, "SELECT p AS source_partition, o AS source_offset, outcome = 'FOUND' AND o % 7 = 3 AS rejected FROM cut")
+def rejected_keys(s, d):
+    return _settled(s, d, DLQ, _refused(s, d)).select("source_partition", "source_offset", (F.col("route") == "DLQ_UNRELAYABLE").alias("rejected"))
+
+
 @query("settled_vs_carry", _CUT, "SELECT reason IS NOT NULL AS settled, count(*) AS n FROM settled GROUP BY 1")
 def settled_vs_carry(s, d):
     return _settled(s, d).groupBy(F.col("reason").isNotNull().alias("settled")).agg(F.count("*").alias("n"))
