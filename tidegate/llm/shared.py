@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # --------------------------------------------------------------------------
 # Tables between jobs
@@ -40,6 +41,16 @@ def doc_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[n] for n in names])
 
 
+#: Documents without doc_id are named by a hash of their text, above all doc_ids that are in use.
+_UNNAMED = 1 << 62
+
+
+def name_columns(documents: DataFrame) -> list[Column]:
+    """`doc` and `version`: what names a document (its doc_id, or else its text), and which of the texts of that name it has."""
+    text = F.coalesce(documents["text"], F.lit(""))
+    return [F.coalesce(documents["doc_id"], F.lit(_UNNAMED) + F.shiftrightunsigned(F.xxhash64(text), 2)).alias("doc"), F.hash(text).alias("version")]
+
+
 # --------------------------------------------------------------------------
 # Text as bytes
 # --------------------------------------------------------------------------

@@ -4,46 +4,54 @@ The collection is first cut so that no part needs to know another. Every 400-byt
 has a key: the smallest hash of the 200-byte strings in it. Windows that are equal have
 equal keys, so a text falls into segments, runs of neighbouring windows with one key, and
 only segments of one key can have a window in common. Keys that occur once go (unless a
-segment repeats within itself); equal segments enter once, with their count; a key with
-very many different segments is cut into blocks, every two of which meet.
-
-Segments of a part are then one collection for a column-wise construction: round t inserts
-one symbol of each segment, the t-th from its end. The Burrows-Wheeler transform of the
-collection and the lengths of the prefixes that neighbours in suffix order have in common
-are two sequential files, read from front to back and written anew each round. The
-position of each new suffix follows from the symbols before its last place in the
-transform, its common prefixes from the smallest values back and forth to the same symbol.
-A window is repeated if a neighbour shares 400 bytes with it.
-
-All segments of a key hold its 200-byte string, and so does each of their windows. It enters
+segment repeats within itself); equal segments enter once, with their count. A key with
+very many different segments is cut again, each segment into shorter ones by the smallest
+hash of longer strings (`GRAMS`), and in the end into single windows, which are counted:
+rows in proportion to the segments' bytes, however many share a key.
+
+Many keys make a part. Windows of a part that no other has by its hash are left out first,
+so that segments shrink to the runs of windows that may repeat; equal runs are one string
+from then on, with their count. The strings are one collection for a column-wise
+construction: round t inserts one symbol of each string, the t-th from its end. The
+Burrows-Wheeler transform of the collection and the lengths of the prefixes that
+neighbours in suffix order have in common are two sequential files, read from front to
+back and written anew each round. The position of each new suffix follows from the
+symbols before its last place in the transform, its common prefixes from the smallest
+values back and forth to the same symbol. A window is repeated if a neighbour shares 400
+bytes with it, or if its string stands in several places.
+
+All strings of a key hold its 200-byte string, and so does each of their windows. It enters
 the collection as a mark and the key's number, four symbols instead of 200; with it a
 window has 204. (Keys with a segment that holds the string twice go without the mark.)
 
-A part is bounded (`BLOCK` segments, twice that for pairs of blocks, of 600 bytes at most),
-so its files stay below `SPOOL` bytes and in memory.
+A collection is bounded (`BLOCK` strings, and those of one key more, of 600 bytes at most), so
+its files stay below `SPOOL` bytes and in memory.
 """
 
 from __future__ import annotations
 
 import hashlib
 import tempfile
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BASE, BASE_INVERSE, BYTE_VALUES, _power_table, byte_rows, doc_columns, mapped, mix, signed, stored
+from .shared import BASE, BASE_INVERSE, BYTE_VALUES, _power_table, byte_rows, doc_columns, mapped, mix, name_columns, signed, stored
 
 LENGTH = 400
-GRAM = 200
+#: Lengths of the strings whose hashes are keys: the first for all texts, each further one for keys with more than BLOCK different segments.
+GRAMS = (200, 300, 360)
 BLOCK = 1024
+#: Segments that go to one task's turn together, at about.
+PART = 4096
 SPOOL = 64 << 20
 #: A mark, which is no byte of UTF-8, and three digits stand for a key's string. The digits
 #: are letters that texts have anyway, so that the alphabet stays small.
 MARK = b"\xff"
 DIGITS = b"etaoinshrdlucmfw"
-_SPAN = LENGTH - GRAM + 1
 _U = np.uint64
 
 
@@ -56,61 +64,84 @@ def _sliding(x: np.ndarray, width: int, low) -> np.ndarray:
     return low(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-def segments(row: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segments(row: bytes, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """key, digest, start, size and whether a key's string stands in it twice, for each segment of a text of LENGTH bytes or more."""
-    grams, sums, down = _grams(np.frombuffer(row, dtype=np.uint8))
-    keys = _sliding(grams, _SPAN, np.minimum)
+    span = LENGTH - gram + 1
+    grams, sums, down = _hashes(np.frombuffer(row, dtype=np.uint8), gram)
+    keys = _sliding(grams, span, np.minimum)
     start = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
     size = np.diff(np.append(start, len(keys)))
-    if size.max() > _SPAN:
-        more = -(-size // _SPAN)
+    if size.max() > span:
+        more = -(-size // span)
         step = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
-        start = np.repeat(start, more) + step * _SPAN
+        start = np.repeat(start, more) + step * span
         size = np.diff(np.append(start, len(keys)))
     own = keys[start]
-    padded = np.concatenate([np.zeros(_SPAN - 1, dtype=np.uint64), keys, np.zeros(_SPAN - 1, dtype=np.uint64)])
-    most = _sliding(padded, _SPAN, np.maximum)
+    padded = np.concatenate([np.zeros(span - 1, dtype=np.uint64), keys, np.zeros(span - 1, dtype=np.uint64)])
+    most = _sliding(padded, span, np.maximum)
     places = np.flatnonzero(grams == most)
     twice = np.zeros(len(start), dtype=bool)
     for i in np.flatnonzero(grams[places[1:]] == grams[places[:-1]]).tolist():
         a, b = places[i], places[i + 1]
-        lo = np.searchsorted(start, max(0, b - _SPAN + 1), "right") - 1
+        lo = np.searchsorted(start, max(0, b - span + 1), "right") - 1
         hi = np.searchsorted(start, a, "right")
         for k in range(max(0, lo), hi):
-            if own[k] == grams[a] and start[k] <= a and b < start[k] + size[k] - 1 + _SPAN:
+            if own[k] == grams[a] and start[k] <= a and b < start[k] + size[k] - 1 + span:
                 twice[k] = True
     size = size + (LENGTH - 1)
     digest = mix((sums[start + size] - sums[start]) * down[start] + size.astype(np.uint64))
     return own, digest, start, size, twice
 
 
-def _parts(with_digest: bool):
+def _marks(batch: pa.RecordBatch):
+    """The segments of documents (doc, version, text)."""
+    docs, versions, held, owner, total = batch.column(0), batch.column(1), [], [], 0
+
+    def made():
+        own, digest, start, size, twice = (np.concatenate(x) for x in zip(*held, strict=True))
+        of = pa.array(np.concatenate(owner))
+        return pa.record_batch(
+            [pa.array(signed(own)), pa.array(signed(digest)), docs.take(of), versions.take(of), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(twice)],
+            names=["key", "digest", "doc", "version", "start", "size", "twice"],
+        )
+
+    for i, row in enumerate(byte_rows(batch.column(2))):
+        if len(row) >= LENGTH:
+            held.append(segments(row, GRAMS[0]))
+            owner.append(np.full(len(held[-1][0]), i))
+            total += len(held[-1][0])
+        if total > 50_000:
+            yield made()
+            held, owner, total = [], [], 0
+    if held:
+        yield made()
+
+
+def _cut_again(gram: int):
+    """The segments by longer strings of segments (key, digest, n, data)."""
+
     def each(batch: pa.RecordBatch):
-        ids, held, owner, total = batch.column(0), [], [], 0
-
-        def made():
-            own, digest, start, size, twice = (np.concatenate(x) for x in zip(*held, strict=True))
-            if not with_digest:
-                return pa.record_batch([pa.array(signed(own)), pa.array(twice)], names=["key", "twice"])
-            return pa.record_batch(
-                [pa.array(signed(own)), pa.array(signed(digest)), ids.take(pa.array(np.concatenate(owner))), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(twice)],
-                names=["key", "digest", "doc_id", "start", "size", "twice"],
+        for key, digest, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own, digests, start, size, twice = segments(data, gram)
+            m = len(own)
+            slices = [data[a : a + k] for a, k in zip(start.tolist(), size.tolist(), strict=True)]
+            yield pa.record_batch(
+                [pa.array([key] * m, type=pa.int64()), pa.array([digest] * m, type=pa.int64()), pa.array(start.astype(np.int32)), pa.array(signed(own)), pa.array(signed(digests)), pa.array([n] * m, type=pa.int64()), pa.array(size.astype(np.int32)), pa.array(twice), pa.array(slices, type=pa.binary())],
+                names=["of_key", "of_digest", "offset", "key", "digest", "n", "size", "twice", "data"],
             )
 
-        for i, row in enumerate(byte_rows(batch.column(1))):
-            if len(row) >= LENGTH:
-                held.append(segments(row))
-                owner.append(np.full(len(held[-1][0]), i))
-                total += len(held[-1][0])
-            if total > 50_000:
-                yield made()
-                held, owner, total = [], [], 0
-        if held:
-            yield made()
-
     return each
 
 
+def _windows(batch: pa.RecordBatch):
+    """Every window of segments (key, digest, n, data) by two hashes."""
+    for key, digest, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        a = _hashes(np.frombuffer(data, dtype=np.uint8), LENGTH)[0]
+        b = _hashes(np.frombuffer(data[::-1], dtype=np.uint8), LENGTH)[0][::-1]
+        m = len(a)
+        yield pa.record_batch([pa.array([key] * m, type=pa.int64()), pa.array([digest] * m, type=pa.int64()), pa.array([n] * m, type=pa.int64()), pa.array(signed(a)), pa.array(signed(b)), pa.array(np.arange(m, dtype=np.int32))], names=["key", "digest", "n", "a", "b", "from"])
+
+
 class _File:
     """A column of values as a sequential file."""
 
@@ -256,36 +287,74 @@ def united(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The hash of the string of GRAM bytes at each place, and what it was made from."""
+def _hashes(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of the string of so many bytes at each place, and what it was made from."""
     n = len(data)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(BYTE_VALUES[data] * _power_table("up", BASE, n)[:n], out=sums[1:])
     down = _power_table("down", BASE_INVERSE, n)
-    return mix((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1]), sums, down
+    return mix((sums[length:] - sums[:-length]) * down[: n - length + 1]), sums, down
 
 
-def _marked(data: bytes, number: int) -> bytes:
-    """A segment with its key's string replaced by the mark and the key's number."""
-    at = int(_grams(np.frombuffer(data, dtype=np.uint8))[0].argmin())
+def _marked(data: bytes, number: int, gram: int) -> bytes:
+    """A string with its key's string replaced by the mark and the key's number."""
+    at = int(_hashes(np.frombuffer(data, dtype=np.uint8), gram)[0].argmin())
     n = len(DIGITS)
-    return data[:at] + MARK + bytes(DIGITS[number // n**k % n] for k in range(3)) + data[at + GRAM :]
+    return data[:at] + MARK + bytes(DIGITS[number // n**k % n] for k in range(3)) + data[at + gram :]
 
 
-def _collected(table: pa.Table) -> pa.Table:
-    rows: dict[tuple[int, int], bytes] = dict(zip(zip(table.column("key").to_pylist(), table.column("digest").to_pylist(), strict=True), table.column("data").to_pylist(), strict=True))
-    names = sorted(rows)
-    texts, length = [rows[k] for k in names], LENGTH
-    numbers = {key: i for i, key in enumerate(dict.fromkeys(key for key, _ in names))}
-    if not table.column("any")[0].as_py() and len(numbers) <= len(DIGITS) ** 3:
-        texts = [_marked(text, numbers[key]) for text, (key, _) in zip(texts, names, strict=True)]
-        length = LENGTH - GRAM + 4
-    out: dict[str, list] = {"key": [], "digest": [], "from": [], "to": []}
-    for (key, digest), starts in zip(names, repeated_windows(texts, length), strict=True):
-        for a, b in united(starts, starts + LENGTH):
-            for c, v in zip(out, (key, digest, a, b), strict=True):
-                out[c].append(v)
-    return pa.table({"key": pa.array(out["key"], type=pa.int64()), "digest": pa.array(out["digest"], type=pa.int64()), "from": pa.array(out["from"], type=pa.int32()), "to": pa.array(out["to"], type=pa.int32())})
+def candidate_runs(texts: list[bytes]) -> list[tuple[int, int, int]]:
+    """(text, start, end) of the maximal runs of windows whose hash another window has; the end is that of the last window."""
+    sizes = np.array([len(t) for t in texts])
+    begins = np.cumsum(sizes) - sizes
+    hashes = _hashes(np.frombuffer(b"".join(texts), dtype=np.uint8), LENGTH)[0]
+    owner = np.repeat(np.arange(len(texts)), sizes)[: len(hashes)]
+    places = np.flatnonzero(np.arange(len(hashes)) + LENGTH <= (begins + sizes)[owner])
+    order = np.argsort(hashes[places], kind="stable")
+    own = hashes[places[order]]
+    equal = np.zeros(len(own) + 1, dtype=bool)
+    equal[1:-1] = own[1:] == own[:-1]
+    found = np.sort(places[order[equal[1:] | equal[:-1]]])
+    if not len(found):
+        return []
+    new = np.ones(len(found), dtype=bool)
+    new[1:] = (found[1:] != found[:-1] + 1) | (owner[found[1:]] != owner[found[:-1]])
+    first, last = found[new], found[np.append(new[1:], True)]
+    k = owner[first]
+    return list(zip(k.tolist(), (first - begins[k]).tolist(), (last - begins[k] + LENGTH).tolist(), strict=True))
+
+
+def _collected(gram: int):
+    def each(table: pa.Table) -> pa.Table:
+        keys, digests, data = (table.column(c).to_pylist() for c in ("key", "digest", "data"))
+        plain = table.column("any")[0].as_py()
+        runs: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+        for k, a, b in candidate_runs(data):
+            runs.setdefault((keys[k], data[k][a:b]), []).append((k, a))
+        out: dict[str, list] = {"key": [], "digest": [], "from": [], "to": []}
+        strings = sorted(runs)
+        numbers = {key: i for i, key in enumerate(dict.fromkeys(key for key, _ in strings))}
+        at = 0
+        while at < len(strings):
+            upto = min(at + BLOCK, len(strings))
+            while upto < len(strings) and strings[upto][0] == strings[upto - 1][0]:
+                upto += 1
+            own, length = strings[at:upto], LENGTH
+            texts = [text for _, text in own]
+            base = numbers[own[0][0]]
+            if not plain and numbers[own[-1][0]] - base < len(DIGITS) ** 3:
+                texts, length = [_marked(text, numbers[key] - base, gram) for key, text in own], LENGTH - gram + 4
+            for (key, text), starts in zip(own, repeated_windows(texts, length), strict=True):
+                places = runs[key, text]
+                ranges = [(0, len(text))] if len(places) > 1 else united(starts, starts + LENGTH)
+                for k, offset in places:
+                    for a, b in ranges:
+                        for c, v in zip(out, (key, digests[k], a + offset, b + offset), strict=True):
+                            out[c].append(v)
+            at = upto
+        return pa.table({"key": pa.array(out["key"], type=pa.int64()), "digest": pa.array(out["digest"], type=pa.int64()), "from": pa.array(out["from"], type=pa.int32()), "to": pa.array(out["to"], type=pa.int32())})
+
+    return each
 
 
 def _sliced(batch: pa.RecordBatch):
@@ -293,32 +362,55 @@ def _sliced(batch: pa.RecordBatch):
         yield pa.record_batch([pa.array(keys, type=pa.int64()), pa.array(digests, type=pa.int64()), pa.array([row[a : a + n] for a, n in zip(starts, sizes, strict=True)], type=pa.binary())], names=["key", "digest", "data"])
 
 
-def _spans(docs: DataFrame) -> DataFrame:
-    """doc_id, from, to: lists of ranges of repeated bytes, for documents that have any."""
-    named = docs.filter("doc_id IS NOT NULL")
-    keys = mapped(named, ["doc_id", "text"], "key long, twice boolean", _parts(False)).groupBy("key").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).filter("n > 1 OR twice").select("key")
-    every = mapped(named, ["doc_id", "text"], "key long, digest long, doc_id long, start int, size int, twice boolean", _parts(True))
-    held = stored(every.join(keys, "key", "left_semi"), "segments")
-
-    different = held.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.min_by("start", "doc_id").alias("start"), F.min("size").alias("size"), F.max("twice").alias("twice"))
-    different = stored(different, "different")
-    by_key = different.groupBy("key").agg(F.count("*").alias("m"), F.max("twice").alias("any")).filter("m > 1 OR any").select("key", "any", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    unclear = stored(different.join(by_key.select("key"), "key"), "unclear")
-    wanted = unclear.groupBy("doc_id").agg(*[F.collect_list(c).alias(c) for c in ("key", "digest", "start", "size")])
-    sliced = mapped(named.join(wanted, "doc_id"), ["text", "key", "digest", "start", "size"], "key long, digest long, data binary", _sliced)
-    parts = max(1, unclear.count() // (BLOCK // 2))
-    placed = sliced.join(by_key, "key").withColumn("part", F.pmod("digest", F.col("blocks")).cast("int"))
-    # One block: many keys make a collection. More: every two blocks of the key make one.
-    alone = placed.filter("blocks = 1").select(F.pmod(F.xxhash64("key"), F.lit(parts)).alias("group"), F.lit(-1).alias("a"), F.lit(-1).alias("b"), "any", "key", "digest", "data")
-    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda q: q != F.col("part")))
-    paired = placed.filter("blocks > 1").withColumn("q", other).select(F.col("key").alias("group"), F.least("part", "q").alias("a"), F.greatest("part", "q").alias("b"), "any", "key", "digest", "data")
+_RANGE = ["key", "digest", "from", "to"]
+
+
+def _ranges(segs: DataFrame, data: Callable[[DataFrame], DataFrame], level: int = 0) -> DataFrame:
+    """key, digest, from, to: repeated ranges of different segments (key, digest, n, size, twice), given a way to the bytes of some of them."""
+    context = segs.sparkSession.sparkContext
+    copies = segs.filter("n > 1").select("key", "digest", F.lit(0).alias("from"), F.col("size").alias("to"))
+    by_key = stored(segs.groupBy("key").agg(F.count("*").alias("m"), F.max("twice").alias("any")).filter("m > 1 OR any"), "keys")
+    unclear = stored(segs.select("key", "digest", "n").join(by_key, "key"), "unclear")
+    total, most = unclear.agg(F.count("*"), F.max("m")).first()
+    if not total:
+        return copies
+    held = data(unclear)
     # As many tasks as there is work for, however few bytes it has.
-    tasks = max(1, min(parts, 16 * docs.sparkSession.sparkContext.defaultParallelism))
-    spread = alone.union(paired).repartition(tasks, "group", "a", "b", "any")
-    found = spread.groupBy("group", "a", "b", "any").applyInArrow(_collected, "key long, digest long, `from` int, `to` int")
-    copies = different.filter("n > 1").select("key", "digest", F.lit(0).alias("from"), F.col("size").alias("to"))
-    ranges = held.join(found.union(copies), ["key", "digest"]).select("doc_id", (F.col("start") + F.col("from")).alias("from"), (F.col("start") + F.col("to")).alias("to"))
-    return ranges.groupBy("doc_id").agg(F.collect_list("from").alias("from"), F.collect_list("to").alias("to"))
+    parts = max(1, total // PART, min(total // 64, 4 * context.defaultParallelism))
+    few = held.filter(F.col("m") <= BLOCK).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
+    spread = few.select("part", "any", "key", "digest", "data").repartition(min(parts, 16 * context.defaultParallelism), "part", "any")
+    out = copies.union(spread.groupBy("part", "any").applyInArrow(_collected(GRAMS[level]), "key long, digest long, `from` int, `to` int"))
+    if most <= BLOCK:
+        return out
+    hot = held.filter(F.col("m") > BLOCK).select("key", "digest", "n", "data")
+    if level + 1 == len(GRAMS):
+        windows = stored(mapped(hot, ["key", "digest", "n", "data"], "key long, digest long, n long, a long, b long, `from` int", _windows), "windows")
+        again = windows.groupBy("a", "b").agg(F.sum("n").alias("n")).filter("n > 1").select("a", "b")
+        return out.union(windows.join(stored(again, "again"), ["a", "b"]).select("key", "digest", "from", (F.col("from") + LENGTH).alias("to")))
+    shorter = stored(mapped(hot, ["key", "digest", "n", "data"], "of_key long, of_digest long, offset int, key long, digest long, n long, size int, twice boolean, data binary", _cut_again(GRAMS[level + 1])), "shorter")
+    different = stored(shorter.groupBy("key", "digest").agg(F.sum("n").alias("n"), F.min("size").alias("size"), F.max("twice").alias("twice"), F.first("data").alias("data")), "different")
+    below = _ranges(different.drop("data"), lambda some: some.join(different.select("key", "digest", "data"), ["key", "digest"]), level + 1)
+    offset = F.col("offset")
+    return out.union(shorter.drop("data", "n").join(stored(below, "below"), ["key", "digest"]).select(F.col("of_key").alias("key"), F.col("of_digest").alias("digest"), (offset + F.col("from")).alias("from"), (offset + F.col("to")).alias("to")))
+
+
+def _spans(docs: DataFrame) -> DataFrame:
+    """doc, version, from, to: lists of ranges of repeated bytes, for documents (doc, version, text) that have any."""
+    marks = stored(mapped(docs, ["doc", "version", "text"], "key long, digest long, doc long, version int, start int, size int, twice boolean", _marks), "marks")
+    keys = stored(marks.groupBy("key").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).filter("n > 1 OR twice").select("key"), "keys")
+    held = stored(marks.join(keys, "key", "left_semi"), "segments")
+    place = F.struct("doc", "version", "start")
+    different = stored(held.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(place).alias("place"), F.min("size").alias("size"), F.max("twice").alias("twice")), "different")
+
+    def data(some: DataFrame) -> DataFrame:
+        found = some.select("key", "digest").join(different.select("key", "digest", "size", "place.*"), ["key", "digest"])
+        wanted = found.groupBy("doc", "version").agg(*[F.collect_list(c).alias(c) for c in ("key", "digest", "start", "size")])
+        sliced = mapped(docs.join(wanted, ["doc", "version"]), ["text", "key", "digest", "start", "size"], "key long, digest long, data binary", _sliced)
+        return stored(some.join(sliced.groupBy("key", "digest").agg(F.first("data").alias("data")), ["key", "digest"]), "data")
+
+    ranges = stored(_ranges(different.select("key", "digest", "n", "size", "twice"), data), "ranges")
+    spans = held.select("key", "digest", "doc", "version", "start").join(ranges, ["key", "digest"]).select("doc", "version", (F.col("start") + F.col("from")).alias("from"), (F.col("start") + F.col("to")).alias("to")).distinct()
+    return spans.groupBy("doc", "version").agg(F.collect_list("from").alias("from"), F.collect_list("to").alias("to"))
 
 
 def _kept(batch: pa.RecordBatch):
@@ -339,10 +431,11 @@ def _kept(batch: pa.RecordBatch):
 def deduplicated(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (byte ranges that repeat) for every row of `documents` (doc_id, text).
 
-    Null and empty texts have no bytes. Rows that repeat a doc_id with the same text are
-    two texts that repeat each other. A row without doc_id is left whole and repeats
-    nothing. Other columns are ignored; an empty table gives no rows.
+    Every row is a text of its own: rows that repeat each other, with a doc_id or without,
+    are texts that repeat each other, and rows that share a doc_id may have different texts.
+    Null and empty texts have no bytes. Other columns are ignored; an empty table gives no
+    rows.
     """
-    docs = doc_columns(documents, "doc_id", "text")
-    wide = docs.join(_spans(docs), "doc_id", "left")
+    docs = documents.select(documents["doc_id"], *name_columns(documents), documents["text"])
+    wide = docs.join(_spans(docs.drop("doc_id")), ["doc", "version"], "left")
     return mapped(wide, ["doc_id", "text", "from", "to"], "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>", _kept)
