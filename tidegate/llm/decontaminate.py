@@ -3,32 +3,30 @@
 Fingerprints are hashes of 5 consecutive words. In every window of 6 such hashes the
 smallest is kept (ties: all of them), on either side, so any 10 words that a document
 shares with a benchmark item have a fingerprint in common. Fingerprints of documents are
-joined with those of the benchmark, and each hit is extended word by word in both
-directions; a run of 10 words or more is an occurrence of item windows.
+joined with those of the benchmark, and each hit is extended to the windows of 10 words
+that hold it, which are joined with the benchmark's windows in turn.
 
 Items of fewer than 10 words are one window of their own length; they are found through
-hashes of that many words, without winnowing, and compared word by word as well.
+hashes of that many words, without winnowing.
 
-The benchmark's fingerprints go to every task while the benchmark has at most
-`BROADCAST_WORDS` words. Beyond, items are cut into blocks of at most so many words by
-hash, and the documents meet one block after another; the partial results are merged by
-document, so any size gives the same result.
+All of it are tables, so the benchmark may have any size. A bit map of `BITS` bits, the
+only thing that goes to every task, holds the benchmark's fingerprints as a Bloom filter
+of one hash would: it keeps most fingerprints of documents out of the join, and only that,
+so a benchmark that fills it costs time but changes no result.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ALNUM, Words, byte_rows, chunks, doc_columns, gram_hashes, mapped
+from .shared import ALNUM, Words, byte_rows, chunks, doc_columns, gram_hashes, mapped, signed, stored
 
 WINDOW = 10
 GRAM = 5
-BROADCAST_WORDS = 4_000_000
+BITS = 1 << 26
 
 
 def winnowed(grams: np.ndarray, width: int) -> np.ndarray:
@@ -45,158 +43,145 @@ def winnowed(grams: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(grams == most)
 
 
-class Index:
-    """Fingerprints of benchmark items: (item, place) by hash for long items, by length and hash for short ones."""
-
-    def __init__(self, items: list[tuple[int, bytes]]):
-        words = Words([t for _, t in items], ALNUM)
-        self.ids = [i for i, _ in items]
-        self.first = words.first
-        self.hashes = words.hashes
-        keys, owner, place = [], [], []
-        short: dict[int, dict[int, list[int]]] = {}
-        for k, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
-            if b - a >= WINDOW:
-                grams = gram_hashes(words.hashes[a:b], GRAM)
-                at = winnowed(grams, WINDOW - GRAM + 1)
-                keys.append(grams[at])
-                place.append(at)
-                owner.append(np.full(len(at), k))
-            elif b > a:
-                short.setdefault(b - a, {}).setdefault(int(gram_hashes(words.hashes[a:b], b - a)[0]), []).append(k)
-        join = lambda x, kind: np.concatenate(x) if x else np.empty(0, dtype=kind)
-        keys, owner, place = join(keys, np.uint64), join(owner, np.int64), join(place, np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.owner, self.place = keys[order], owner[order], place[order]
-        self.short = {n: (np.array(sorted(by), dtype=np.uint64), by) for n, by in short.items()}
-
-    def found(self, doc: np.ndarray, grams_at: np.ndarray, keys: np.ndarray) -> list[tuple[int, int, int]]:
-        """(start, end, item) of every maximal shared run, from a document's word hashes and those of its fingerprints that the index has."""
-        runs: list[tuple[int, int, int]] = []
-        done: dict[tuple[int, int], int] = {}
-        for p, key in zip(grams_at.tolist(), keys, strict=True):
-            for e in range(int(np.searchsorted(self.keys, key)), int(np.searchsorted(self.keys, key, "right"))):
-                k, q = int(self.owner[e]), int(self.place[e])
-                if done.get((k, p - q), -1) > p:
-                    continue
-                item = self.hashes[self.first[k] : self.first[k + 1]]
-                left = min(p, q)
-                same = doc[p - left : p][::-1] == item[q - left : q][::-1]
-                start = p - (left if same.all() else int(same.argmin()))
-                right = min(len(doc) - p, len(item) - q)
-                same = doc[p : p + right] == item[q : q + right]
-                end = p + (right if same.all() else int(same.argmin()))
-                done[k, p - q] = end
-                if end - start >= WINDOW:
-                    runs.append((start, end, k))
-        return runs
-
-
-def _hits(index, batch: pa.RecordBatch):
-    ix: Index = index.value
-    ids, rows = batch.column(0), byte_rows(batch.column(1))
-    for lo, hi in chunks(rows):
-        words = Words(rows[lo:hi], ALNUM)
-        first = words.first
-        runs: list[list[tuple[int, int, int]]] = [[] for _ in range(hi - lo)]
-        if len(ix.keys):
-            # Windows that cross rows only add fingerprints; a gram that does is not the row's.
-            grams = gram_hashes(words.hashes, GRAM)
-            at = winnowed(grams, WINDOW - GRAM + 1)
-            got = ix.keys[np.minimum(np.searchsorted(ix.keys, grams[at]), len(ix.keys) - 1)] == grams[at]
-            at = at[got]
-            row = np.searchsorted(first, at, "right") - 1
-            inside = at + GRAM <= first[row + 1]
-            at, row = at[inside], row[inside]
-            for r in np.unique(row).tolist():
-                own = at[row == r]
-                runs[r] += ix.found(words.hashes[first[r] : first[r + 1]], own - first[r], grams[own])
-        for n, (keys, by) in ix.short.items():
-            grams = gram_hashes(words.hashes, n)
-            if not len(grams):
-                continue
-            at = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, grams), len(keys) - 1)] == grams)
-            row = np.searchsorted(first, at, "right") - 1
-            inside = at + n <= first[row + 1]
-            for p, r in zip(at[inside].tolist(), row[inside].tolist(), strict=True):
-                for k in by[int(grams[p])]:
-                    if np.array_equal(words.hashes[p : p + n], ix.hashes[ix.first[k] : ix.first[k + 1]]):
-                        runs[r].append((p - int(first[r]), p - int(first[r]) + n, k))
-        spans, items = [], []
-        for own in runs:
-            merged: list[list[int]] = []
-            for a, b, _ in sorted(own):
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
-            spans.append([{"start": a, "end": b} for a, b in merged])
-            items.append(sorted({ix.ids[k] for _, _, k in own}))
-        n_words = np.diff(first)
-        yield pa.record_batch(
-            [ids.slice(lo, hi - lo), pa.array(n_words, type=pa.int64()), pa.array(spans, type=pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, type=pa.list_(pa.int64()))],
-            names=["doc_id", "n_words", "spans", "items"],
-        )
-
-
-_SCHEMA = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<long>"
-
-
-def _merged(rows: DataFrame) -> DataFrame:
-    """One row for each document from one for each block of items; spans united."""
-    united = F.aggregate(
-        F.array_sort(F.flatten(F.collect_list("spans"))),
-        F.expr("cast(array() as array<struct<start:long,end:long>>)"),
-        lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= s["start"]), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(done, F.array(s))),
-    )
-    return rows.groupBy("doc_id", "n_words").agg(united.alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-
-
-def _indexes(items: DataFrame, broadcast_words: int) -> list:
-    """Broadcast indexes over all items, each of a bounded size."""
-    context = items.sparkSession.sparkContext
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = 1 + total // (2 * broadcast_words)  # a word and its gap have two bytes at least
+def _long_places(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the fingerprints in rows with a window's words; those that cross rows are left out."""
+    grams = gram_hashes(words.hashes, GRAM)
+    at = winnowed(grams, WINDOW - GRAM + 1)
+    row = np.searchsorted(words.first, at, "right") - 1
+    # Windows that cross rows only add fingerprints; a gram that does is no row's.
+    at = at[(at + GRAM <= words.first[row + 1]) & (words.first[row + 1] - words.first[row] >= WINDOW)]
+    return grams[at], at
+
+
+def _item_keys(batch: pa.RecordBatch):
+    """(item_id, size of a window, fingerprints, windows) of each item that has words."""
+    ids, sizes, keys, windows = [], [], [], []
+    for item, row in zip(batch.column(0).to_pylist(), byte_rows(batch.column(1)), strict=True):
+        words = Words([row], ALNUM)
+        n = len(words.hashes)
+        if n:
+            own = gram_hashes(words.hashes, min(n, WINDOW))
+            ids.append(item)
+            sizes.append(min(n, WINDOW))
+            windows.append(signed(np.unique(own)))
+            keys.append(signed(np.unique(_long_places(words)[0])) if n >= WINDOW else windows[-1])
+    yield pa.record_batch([pa.array(ids, type=pa.int64()), pa.array(sizes, type=pa.int32()), pa.array(keys, type=pa.list_(pa.int64())), pa.array(windows, type=pa.list_(pa.int64()))], names=["item_id", "size", "keys", "windows"])
+
+
+_HIT = pa.struct([("key", pa.int64()), ("size", pa.int32()), ("starts", pa.list_(pa.int32())), ("windows", pa.list_(pa.int64()))])
+
+
+def _doc_hits(bits, short: list[int]):
+    def known(keys: np.ndarray) -> np.ndarray:
+        at = keys % np.uint64(64 * len(bits.value))
+        return bits.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) > 0
+
+    def each(batch: pa.RecordBatch):
+        rows = byte_rows(batch.column(2))
+        for lo, hi in chunks(rows):
+            words = Words(rows[lo:hi], ALNUM)
+            first = words.first
+            hits: list[list[dict]] = [[] for _ in range(hi - lo)]
+            keys, at = _long_places(words)
+            seen = known(keys)
+            if seen.any():
+                windows = gram_hashes(words.hashes, WINDOW)
+                for key, p in zip(signed(keys[seen]).tolist(), at[seen].tolist(), strict=True):
+                    r = int(np.searchsorted(first, p, "right")) - 1
+                    a, b = max(int(first[r]), p - (WINDOW - GRAM)), min(p, int(first[r + 1]) - WINDOW)
+                    hits[r].append({"key": key, "size": WINDOW, "starts": list(range(a - int(first[r]), b + 1 - int(first[r]))), "windows": signed(windows[a : b + 1])})
+            for n in short:
+                grams = gram_hashes(words.hashes, n)
+                at = np.flatnonzero(known(grams))
+                row = np.searchsorted(first, at, "right") - 1
+                inside = at + n <= first[row + 1]
+                at, row = at[inside], row[inside]
+                order = np.lexsort((at, grams[at], row))
+                at, row = at[order], row[order]
+                new = np.ones(len(at), dtype=bool)
+                new[1:] = (row[1:] != row[:-1]) | (grams[at[1:]] != grams[at[:-1]])
+                edges = np.append(np.flatnonzero(new), len(at)).tolist()
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    r, own = int(row[a]), at[a:b]
+                    hits[r].append({"key": int(signed(grams[at[a : a + 1]])[0]), "size": n, "starts": own - first[r], "windows": signed(grams[own])})
+            yield pa.record_batch(
+                [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(first), type=pa.int64()), pa.array([h or None for h in hits], type=pa.list_(_HIT))],
+                names=["doc_id", "at", "n_words", "hits"],
+            )
+
+    return each
+
+
+def _spans(batch: pa.RecordBatch):
+    """Ranges (start, end) of words from a list of windows (start, size)."""
     out = []
-    for block in range(n):
-        own = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == block)
-        out.append(context.broadcast(Index([(r.item_id, r.text.encode()) for r in own.distinct().toLocalIterator()])))
-    return out
-
-
-def clean(documents: DataFrame, benchmark: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    for own in batch.column(2).to_pylist():
+        spans: list[dict] = []
+        for w in sorted(own, key=lambda w: w["start"]):
+            a, b = w["start"], w["start"] + w["size"]
+            if spans and a <= spans[-1]["end"]:
+                spans[-1]["end"] = max(spans[-1]["end"], b)
+            else:
+                spans.append({"start": a, "end": b})
+        out.append(spans)
+    yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, type=pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["hit_id", "hit_at", "spans"])
+
+
+def _bit_map(keys: DataFrame) -> np.ndarray:
+    """A bit for each key, modulo BITS; keys are taken as unsigned. At most BITS / 64 rows reach the driver."""
+    bit = F.pmod("key", F.lit(BITS))  # BITS is a power of two, so the sign doesn't matter
+    one = keys.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(key, {BITS}) % 64 as int))").alias("one"))
+    found = one.groupBy("word").agg(F.bit_or("one").alias("ones")).toArrow()
+    bits = np.zeros(BITS // 64, dtype=np.uint64)
+    bits[found.column("word").to_numpy()] = found.column("ones").to_numpy().view(np.uint64)
+    return bits
+
+
+def _windows(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, at, n_words) of every document; (doc_id, at, start, size, window) of those with words in the benchmark's windows; the latter's (window, item_id)."""
+    spark = documents.sparkSession
+    items = doc_columns(benchmark, "item_id", "text").filter("text IS NOT NULL").distinct()
+    items = stored(mapped(items, ["item_id", "text"], "item_id long, size int, keys array<long>, windows array<long>", _item_keys), "items")
+    keys = items.select(F.explode("keys").alias("key")).distinct()
+    windows = items.select(F.explode("windows").alias("window"), "item_id").distinct()
+    short = sorted(r.size for r in items.select(F.col("size")).distinct().collect() if r.size < WINDOW)  # nine sizes at most
+    bits = spark.sparkContext.broadcast(_bit_map(keys))  # BITS / 8 bytes, whatever the input
+
+    docs = doc_columns(documents, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("at"), "text")
+    schema = "doc_id long, at long, n_words long, hits array<struct<key:long,size:int,starts:array<int>,windows:array<long>>>"
+    marks = stored(mapped(docs, ["doc_id", "at", "text"], schema, _doc_hits(bits, short)), "marks")
+    hits = marks.filter("hits IS NOT NULL").select("doc_id", "at", F.explode("hits").alias("hit")).select("doc_id", "at", "hit.*").join(keys, "key", "left_semi")
+    extended = hits.select("doc_id", "at", "size", F.explode(F.arrays_zip("starts", "windows")).alias("w")).select("doc_id", "at", F.col("w.starts").alias("start"), "size", F.col("w.windows").alias("window"))
+    found = extended.join(windows.select("window").distinct(), "window", "left_semi").distinct()
+    return marks.select("doc_id", "at", "n_words"), stored(found, "found"), windows
+
+
+def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `documents` that hold no benchmark window, with all their columns."""
-    items = doc_columns(benchmark, "item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
-    at, out = documents.columns.index("text"), documents
-    for index in _indexes(items, broadcast_words):
-
-        def run(batches, index=index):
-            for batch in batches:
-                if batch.num_rows:
-                    hit = [s > 0 for b in _hits(index, pa.record_batch([batch.column(at)] * 2, names=["doc_id", "text"])) for s in b.column(2).value_lengths().to_pylist()]
-                    yield batch.filter(pa.array([not h for h in hit]))
+    _, found, _ = _windows(documents, benchmark)
+    hit = found.select(F.col("doc_id").alias("hit_id"), F.col("at").alias("hit_at")).distinct()
+    same = documents["doc_id"].eqNullSafe(hit["hit_id"]) & (F.xxhash64(documents["text"]) == hit["hit_at"])
+    return documents.join(hit, same, "left_anti")
 
-        out = out.mapInArrow(run, documents.schema)
-    return out
 
-
-def occurrences(documents: DataFrame, benchmark: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def occurrences(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, spans (ranges of words inside benchmark windows) and items (their ids) for every row of `documents` (doc_id, text), given `benchmark` (item_id, text).
 
     Words are runs of ASCII letters and digits and of all that is not ASCII, in lower
     case (A-Z only). Null and empty texts have no words; such items match nothing. Items
-    may repeat. A null doc_id is kept; an item without item_id is left out. With a
-    benchmark beyond `broadcast_words`, rows that repeat a doc_id are merged into one.
-    Other columns are ignored; an empty table on either side is valid.
+    may repeat. Every row of documents gives a row: rows may repeat, and rows that share
+    a doc_id, or have none, may have different texts. The windows of an item without item_id
+    are hits as others are, but it is not in the list of items. Other columns are ignored; an
+    empty table on either side is valid.
     """
-    docs = doc_columns(documents, "doc_id", "text")
-    items = doc_columns(benchmark, "item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
-    found = [mapped(docs, ["doc_id", "text"], _SCHEMA, lambda batch, index=index: _hits(index, batch)) for index in _indexes(items, broadcast_words)]
-    n = len(found)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out if n == 1 else _merged(out)
+    marks, found, windows = _windows(documents, benchmark)
+    places = found.groupBy("doc_id", "at").agg(F.collect_list(F.struct("start", "size")).alias("places"))
+    spans = mapped(places, ["doc_id", "at", "places"], "hit_id long, hit_at long, spans array<struct<start:long,end:long>>", _spans)
+    items = found.join(windows, "window").groupBy("doc_id", "at").agg(F.array_sort(F.collect_set("item_id")).alias("items")).toDF("item_doc", "item_at", "items")
+    same = lambda a, b: F.col("doc_id").eqNullSafe(F.col(a)) & (F.col("at") == F.col(b))
+    wide = marks.join(spans, same("hit_id", "hit_at"), "left").join(items, same("item_doc", "item_at"), "left")
+    none = lambda c, kind: F.coalesce(c, F.expr(f"cast(array() as {kind})")).alias(c)
+    return wide.select("doc_id", "n_words", none("spans", "array<struct<start:long,end:long>>"), none("items", "array<long>"))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -205,18 +190,3 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     rows = occurrences(documents, benchmark).select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(named, 256).alias("items_sha256"))
     return rows.withColumn("contaminated", F.col("n_hit") > 0)
-
-
-def brute_force(text: bytes | None, items: list[tuple[int, bytes | None]]) -> tuple[int, int, int, str]:
-    """n_words, n_hit, n_items and items_sha256 by definition, for tests."""
-    split = lambda t: [bytes(w).lower() for w in bytes(t or b"").translate(bytes(b if ALNUM[b] else 32 for b in range(256))).split()]
-    words, hit, got = split(text), set(), set()
-    for item, t in items:
-        own = split(t)
-        n = min(WINDOW, len(own))
-        windows = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)} if n else set()
-        for p in range(len(words) - n + 1):
-            if tuple(words[p : p + n]) in windows:
-                hit |= {*range(p, p + n)}
-                got.add(item)
-    return len(words), len(hit), len(got), hashlib.sha256(",".join(sorted(map(str, got))).encode()).hexdigest()
