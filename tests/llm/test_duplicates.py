@@ -6,7 +6,7 @@ import random
 import re
 
 import pytest
-from brute import classes
+from brute import classes, cut, gear_cuts
 from pyspark.sql import functions as F
 
 from tidegate.llm import near_dup, substring_dedup, suffix_dedup
@@ -94,6 +94,47 @@ def test_cuts_don_t_shift():
     assert all(max(b - a for a, b in zip(m, m[1:], strict=False)) <= substring_dedup.LONGEST for m in long)
 
 
+def test_cuts_byte_by_byte():
+    rng = random.Random(12)
+    texts = [b"", b"a", b"short", "é ü — ".encode() * 90, b"a" * 9_000, "é".encode() * 5_000, b"\0" * 60]
+    texts += [" ".join(words(rng, rng.randint(1, 300))).encode() for _ in range(12)]
+    texts += [rng.randbytes(700).decode("latin-1").encode() for _ in range(4)]
+    assert substring_dedup.cuts(texts) == [gear_cuts(t) for t in texts]
+
+
+def test_substrings_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    out = {r.doc_id: (r.text or "").encode() for r in substring_dedup.deduplicated(docs).collect()}
+    assert out == cut(rows, substring_dedup.RUN)
+
+
+def test_whole_copies_go_however_short(spark):
+    rows = [(i, t) for k, t in enumerate(["a text of nineteen b", "one of fifty-nine bytes, which is two chunks or so, at most", "x"]) for i in (10 * k, 10 * k + 1)]
+    out = {r.doc_id: (r.text, r.n_removed) for r in substring_dedup.deduplicated(spark.createDataFrame(rows, DOCS)).collect()}
+    assert out == {i: (t, 0) if i % 10 == 0 else ("", len(t)) for i, t in rows}
+
+
+def test_rows_that_share_a_name(spark):
+    """Texts that share a doc_id are cut each by its own places; rows without one by their text."""
+    rng = random.Random(8)
+    passage, one, two = (" ".join(words(rng, 90)) for _ in range(3))
+    rows = [(1, passage), (2, one + " " + passage), (2, two + " " + passage + " é"), (2, one + " " + passage), (3, two), (None, passage), (None, passage + " " + one), (None, passage)]
+    out = substring_dedup.deduplicated(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(out) == len(rows)
+    got = {}
+    for r in out:
+        text = (r.text or "").encode()
+        got.setdefault((r.doc_id, r.n_bytes), set()).add(text)
+    size = lambda t: len(t.encode())
+    assert got[1, size(passage)] == {passage.encode()}
+    (first,) = got[2, size(rows[1][1])]
+    (second,) = got[2, size(rows[2][1])]
+    assert first.startswith(one[: size(one) - 60].encode()) and len(first) < size(one) + 120
+    assert second.startswith(two[: size(two) - 60].encode()) and second.endswith("é".encode()) and len(second) < size(two) + 120
+    assert got[None, size(passage)] == {b""}
+
+
 def test_passages_go_and_other_text_stays(spark):
     rng = random.Random(4)
     passage = " ".join(words(rng, 60))

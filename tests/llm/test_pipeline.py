@@ -7,9 +7,9 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
-from brute import classes, cut
+from brute import classes, contamination, cut
 
-from tidegate.llm import bpe, decontaminate, language_id, substring_dedup
+from tidegate.llm import bpe, language_id, substring_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,7 +32,7 @@ def test_rows_by_brute_force(spark):
     of = classes(kept)
     kept = [(i, t.encode()) for i, t in kept if of[i][1] == i]
     texts = cut(kept, substring_dedup.RUN)
-    texts = {i: t for i, t in texts.items() if not decontaminate.brute_force(t, items)[1]}
+    texts = {i: t for i, t in texts.items() if not contamination(t, items)[1]}
 
     encoder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path(pipeline.VOCABULARY)), special_tokens={})
     want = {}

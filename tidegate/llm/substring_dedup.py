@@ -7,8 +7,9 @@ depend on the bytes near them alone, so an insertion shifts no other cut, and a
 has the same chunks wherever it stands. A chunk without a cut for 4096 bytes is split.
 
 Every chunk has a 128-bit digest. The first document (smallest doc_id) keeps its first
-copy; other copies are cut out, if a run of neighbouring copies has at least 64 bytes:
-shorter runs are phrases, not passages.
+copy; other copies are cut out, if a run of neighbouring copies has at least `run` bytes
+(64 unless told otherwise: shorter runs are phrases, not passages) or is the whole text:
+a whole copy goes, however short it is.
 """
 
 from __future__ import annotations
@@ -19,13 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import byte_rows, chunks, doc_columns, mapped
+from .shared import byte_rows, chunks, doc_columns, mapped, name_columns
 
 REACH = 24
 LONGEST = 4096
-#: Chunks below this (only the first of a text can be) are never counted as copies.
-SHORTEST = 24
-#: Bytes that neighbouring copies must have together to be cut out.
+#: Bytes that neighbouring copies must have together to be cut out, unless they are a whole text.
 RUN = 64
 
 _GEAR = np.random.default_rng(11).integers(1, 2**16, 256, dtype=np.uint16)
@@ -87,36 +86,36 @@ def _split(row: bytes, marks: list[int]) -> list[int]:
 
 def _marked(batch: pa.RecordBatch):
     digest = xxhash.xxh3_128_digest
-    ids, rows = batch.column(0), byte_rows(batch.column(1))
+    docs, versions, rows = batch.column(0), batch.column(1), byte_rows(batch.column(2))
     for lo, hi in chunks(rows):
         digests, ats, sizes, agains, owner = [], [], [], [], []
         for i, marks in enumerate(cuts(rows[lo:hi])):
             row, seen = rows[lo + i], set()
             for a, b in zip(marks, marks[1:], strict=False):
-                if b - a >= SHORTEST:
-                    d = digest(row[a:b])
-                    digests.append(d)
-                    ats.append(a)
-                    sizes.append(b - a)
-                    agains.append(d in seen)
-                    seen.add(d)
-                    owner.append(i)
+                d = digest(row[a:b])
+                digests.append(d)
+                ats.append(a)
+                sizes.append(b - a)
+                agains.append(d in seen)
+                seen.add(d)
+                owner.append(i)
         both = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+        of = pa.array(np.array(owner, dtype=np.int64) + lo)
         yield pa.record_batch(
-            [ids.take(pa.array(np.array(owner, dtype=np.int64) + lo)), pa.array(ats, type=pa.int32()), pa.array(sizes, type=pa.int32()), pa.array(agains, type=pa.bool_()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())],
-            names=["doc_id", "at", "size", "again", "a", "b"],
+            [docs.take(of), versions.take(of), pa.array(ats, type=pa.int32()), pa.array(sizes, type=pa.int32()), pa.array(agains, type=pa.bool_()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())],
+            names=["doc", "version", "at", "size", "again", "a", "b"],
         )
 
 
-def joined_runs(copies: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
-    """Runs (start, end) of neighbouring (at, size) with at least so many bytes."""
+def joined_runs(copies: list[tuple[int, int]], least: int, whole: int) -> list[tuple[int, int]]:
+    """Runs (start, end) of neighbouring (at, size) with at least so many bytes, or with all of the `whole`."""
     runs: list[list[int]] = []
     for at, size in sorted(set(copies)):
         if runs and runs[-1][1] == at:
             runs[-1][1] = at + size
         else:
             runs.append([at, at + size])
-    return [(a, b) for a, b in runs if b - a >= least]
+    return [(a, b) for a, b in runs if b - a >= min(least, whole)]
 
 
 def _cut_out(run: int):
@@ -124,7 +123,7 @@ def _cut_out(run: int):
         rows = byte_rows(batch.column(1))
         texts, removed, spans = [], [], []
         for row, null, ats, sizes in zip(rows, batch.column(1).is_null().to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            runs = joined_runs(list(zip(ats, sizes, strict=True)), run) if ats else []
+            runs = joined_runs(list(zip(ats, sizes, strict=True)), run, len(row)) if ats else []
             kept, at = [], 0
             for a, b in runs:
                 kept.append(row[at:a])
@@ -142,30 +141,39 @@ def _cut_out(run: int):
 
 
 def _copies(documents: DataFrame) -> DataFrame:
-    """doc_id, at, size: the places of the copies to cut out of each document that has any."""
-    marks = mapped(documents.filter("doc_id IS NOT NULL"), ["doc_id", "text"], "doc_id long, at int, size int, again boolean, a long, b long", _marked)
-    shared = marks.groupBy("a", "b").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.max("again").alias("repeated")).filter("repeated OR first_doc < last_doc").select("a", "b", "first_doc")
-    copies = marks.join(shared, ["a", "b"]).filter("again OR doc_id <> first_doc")
-    return copies.groupBy("doc_id").agg(F.collect_list("at").alias("at"), F.collect_list("size").alias("size"))
+    """copy_doc, copy_version, copy_at, copy_size: the places of the copies to cut out of each document that has any."""
+    named = documents.select(*name_columns(documents), documents["text"])
+    marks = mapped(named, ["doc", "version", "text"], "doc long, version int, at int, size int, again boolean, a long, b long", _marked)
+    shared = marks.groupBy("a", "b").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"), F.max("again").alias("repeated")).filter("repeated OR first_doc < last_doc").select("a", "b", "first_doc")
+    copies = marks.join(shared, ["a", "b"]).filter("again OR doc <> first_doc")
+    return copies.groupBy("doc", "version").agg(F.collect_list("at").alias("copy_at"), F.collect_list("size").alias("copy_size")).withColumnsRenamed({"doc": "copy_doc", "version": "copy_version"})
+
+
+def _with_copies(documents: DataFrame) -> DataFrame:
+    """`documents` with copy_at and copy_size behind its own columns."""
+    copies = _copies(documents)
+    doc, version = name_columns(documents)
+    same = (doc == copies["copy_doc"]) & (version == copies["copy_version"])
+    return documents.join(copies, same, "left").select(*[documents[n] for n in documents.columns], copies["copy_at"], copies["copy_size"])
 
 
 def deduplicated(documents: DataFrame, run: int = RUN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (byte ranges cut out) and text (what is left) for every row of `documents` (doc_id, text).
 
-    A null text stays null and an empty one empty, with nothing removed. Repeated rows
-    are one document and get the same result; a row without doc_id is neither cut nor a
-    reason to cut another. Other columns are ignored; an empty table gives no rows.
+    A null text stays null and an empty one empty, with nothing removed. A run of copies
+    goes if it has `run` bytes or is the whole text. Rows that share a doc_id are one
+    document: repeated rows get the same result, different texts each their own, and none
+    is a copy of another. A row without doc_id is a document named by its text, after all that
+    have one. Other columns are ignored; an empty table gives no rows.
     """
-    docs = doc_columns(documents, "doc_id", "text")
-    wide = docs.join(_copies(docs), "doc_id", "left")
-    return mapped(wide, ["doc_id", "text", "at", "size"], "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, text string", _cut_out(run))
+    wide = _with_copies(doc_columns(documents, "doc_id", "text"))
+    return mapped(wide, ["doc_id", "text", "copy_at", "copy_size"], "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, text string", _cut_out(run))
 
 
 def with_cut_texts(documents: DataFrame, run: int = RUN) -> DataFrame:
     """`documents` with all its columns, and the copies cut out of text; see `deduplicated`."""
     names = documents.columns
-    copies = _copies(documents).toDF("cut_id", "cut_at", "cut_size")
-    wide = documents.join(copies, documents["doc_id"] == copies["cut_id"], "left").select(*[documents[n] for n in names], "cut_at", "cut_size")
+    wide = _with_copies(documents)
     each, at = _cut_out(run), names.index("text")
 
     def cut(batches):
