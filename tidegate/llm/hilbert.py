@@ -2,14 +2,16 @@
 
 Each document has three quantised dimensions: language and source (hashed) and the
 logarithm of its size, 5 bits each. Documents are ordered by the Hilbert index of that
-cell, then by a hash and their id, and the order is cut into shards whose row counts
+cell, then by a hash of their text, and the order is cut into shards whose row counts
 differ by one at most (law `rows`). Documents of a shard are near each other in all three
-dimensions, so the minima and maxima in a file's footer rule most files out.
+dimensions, so the minima and maxima in a file's footer rule most files out. Equal texts of
+one cell stand together, and only the edge of a shard parts them.
 
 No global sort is made. Ranks come from counts: cells (at most 32,768) are summed up
-along the curve, sub-buckets of a cell within it, and rows are numbered in their
-sub-bucket. A cell with a third of all rows falls into 256 sub-buckets, spread over tasks.
-The index is worked out for cells, not for rows.
+along the curve, sub-buckets of a cell within it, texts within their sub-bucket, and the
+parts of a text's copies within the text. A cell with a third of all rows falls into 256
+sub-buckets, copies of one text into 4,096 parts by doc_id, all spread over tasks. The index
+is worked out for cells, not for rows.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 
 BITS = 5
 SUB_BUCKETS = 256
+#: Parts of the copies of a text, at most.
+PARTS = 4096
 
 
 def hilbert_index(levels: list[Column], bits: int) -> Column:
@@ -87,9 +91,14 @@ def hilbert_shards(documents: DataFrame, shards: int = 24, carry: tuple[str, ...
         named("source").alias("q_source"),
         F.least(F.floor(F.log2(size)), F.lit(top)).cast("int").alias("q_size"),
         *[documents[c].alias(f"carried_{c}") for c in carry],
-    ).withColumn("sub", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SUB_BUCKETS)).cast("int"))
-
-    counts = rows.groupBy(*cell, "sub").agg(F.count("*").alias("n"))
+        F.xxhash64(text).alias("text_hash"),
+        F.pmod(F.xxhash64(documents["doc_id"]), F.lit(PARTS)).cast("int").alias("part"),
+    ).withColumn("sub", F.pmod("text_hash", F.lit(SUB_BUCKETS)).cast("int"))
+
+    in_sub = Window.partitionBy(*cell, "sub").orderBy("text_hash", "part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*cell, "sub", "text_hash", "part").agg(F.count("*").alias("n"))
+    parts = parts.withColumn("before", F.coalesce(F.sum("n").over(in_sub), F.lit(0)))
+    counts = parts.groupBy(*cell, "sub").agg(F.sum("n").alias("n"))
     # At most SUB_BUCKETS counts for each cell: a list of them is bounded.
     listed = counts.groupBy(*cell).agg(F.sum("n").alias("cell_n"), F.array_sort(F.collect_list(F.struct("sub", "n"))).alias("subs"))
     cells = listed.withColumn("hilbert", hilbert_index([F.col(c) for c in cell], BITS))
@@ -103,9 +112,11 @@ def hilbert_shards(documents: DataFrame, shards: int = 24, carry: tuple[str, ...
     )
     starts = cells.select(*cell, "hilbert", "total", F.explode(summed["out"]).alias("s")).select(*cell, "hilbert", "total", "s.sub", "s.start")
 
-    own = Window.partitionBy(*cell, "sub").orderBy("doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("nth", F.row_number().over(own)).join(starts, [*cell, "sub"])
-    ranked = ranked.withColumn("at", F.col("start") + F.col("nth") - 1).withColumn("shard", F.expr(f"(at * {shards}L) div total").cast("int"))
+    place = [*cell, "sub", "text_hash", "part"]
+    begins = parts.join(starts, [*cell, "sub"]).select(*place, "hilbert", "total", (F.col("start") + F.col("before")).alias("begin"))
+    own = Window.partitionBy(*place).orderBy("doc_id", "text_crc32", "size")
+    ranked = rows.withColumn("nth", F.row_number().over(own)).join(begins, place)
+    ranked = ranked.withColumn("at", F.col("begin") + F.col("nth") - 1).withColumn("shard", F.expr(f"(at * {shards}L) div total").cast("int"))
     first = F.expr(f"(shard * total + {shards - 1}L) div {shards}L")
     return ranked.select(
         "doc_id",
