@@ -53,6 +53,19 @@ def test_shards_edges(spark):
     shards_hold(hilbert.hilbert_shards(spark.createDataFrame(rows, schema)).collect(), [r[1] for r in rows], 24)
 
 
+def test_equal_texts_stay_together(spark, monkeypatch):
+    monkeypatch.setattr(hilbert, "PARTS", 7)
+    schema = "doc_id bigint, text string, lang string, source string"
+    rows = [(i * 31 % 997, f"text number {i % 40}" if i % 3 else "the same", "en", "s") for i in range(900)] + [(5, "the same", "en", "s")] * 60
+    out = hilbert.hilbert_shards(spark.createDataFrame(rows, schema), 8).collect()
+    shards_hold(out, [r[1] for r in rows], 8)
+    order = [r.text_crc32 for r in sorted(out, key=lambda r: (r.shard, r.slot))]
+    runs = collections.Counter(a for a, b in zip(order, [None, *order], strict=False) if a != b)
+    sizes = collections.Counter(r.size for r in out)
+    # Texts of one cell (here: of one size class) form one run each.
+    assert set(runs.values()) == {1} and len(sizes) > 1
+
+
 VECTORS = "vec_id bigint, embedding array<float>"
 
 
@@ -84,6 +97,21 @@ def test_top_k_edges(spark):
     assert out == [(0, 1, 1, 64 * 64 + 128 * 64)]
 
 
+@pytest.mark.parametrize("blocks", [(4096, 1024), (3, 2)])
+def test_top_k_of_repeated_rows_and_ties(spark, monkeypatch, blocks):
+    monkeypatch.setattr(top_k, "BLOCK", blocks[0])
+    monkeypatch.setattr(top_k, "QUERY_BLOCK", blocks[1])
+    one, two = [1.0, 0.0], [0.5, 0.5]
+    rows = [(0, one), (1, one), (1, one), (3, two)] + [(20, two), (20, two)] + [(100 + i, one) for i in range(30)]
+    out = [tuple(r) for r in top_k.top_k(spark.createDataFrame(rows, VECTORS)).orderBy("query_id", "rank").collect()]
+    full = [(1, 4096), (1, 4096)] + [(100 + i, 4096) for i in range(18)]
+    half = [(0, 2048), (1, 2048), (1, 2048), (3, 2048)] + [(100 + i, 2048) for i in range(16)]
+    want = [(0, r, v, s) for r, (v, s) in enumerate(full, 1)] + [(20, r, v, s) for r, (v, s) in enumerate(half, 1)]
+    want += [(100, r, v, s) for r, (v, s) in enumerate([(0, 4096), *full[:2], *[(101 + i, 4096) for i in range(17)]], 1)]
+    want += [(120, r, v, s) for r, (v, s) in enumerate([(0, 4096), *full[:2], *[(100 + i, 4096) for i in range(17)]], 1)]
+    assert out == want
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, None), (7, 7)]

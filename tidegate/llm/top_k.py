@@ -1,15 +1,16 @@
 """Exact top-k inner products: norm-sorted vectors, SVD-rotated partial sums, Cauchy-Schwarz bounds.
 
 Vectors are made integer, floor(64 * x). The right singular vectors of all of them (from
-their Gram matrix, summed over tasks) rotate them, so that the first dimensions carry
+their Gram matrix, summed in the cluster) rotate them, so that the first dimensions carry
 most of the length. Candidates are dealt by length, longest first, into blocks of a
-bounded number of rows, and queries into blocks likewise; each pair of blocks is one row
-of work. A first round runs each query block against the block of the longest
-candidates, which gives each query a floor under its k-th score; the second round
-visits the other pairs and leaves out, in turn, queries whose floor exceeds
-|q| * |longest of the block|, and candidates whose partial sum over the first dimensions
-plus the product of what is left of both lengths stays below the floor. What remains is
-scored exactly, and only scores that reach the k best of a block pair go on.
+bounded number of rows, and queries into blocks likewise. A first round runs each query
+block against the block of the longest candidates, which gives each query a floor: its
+k-th result so far. The second round meets only the pairs of blocks in which the longest
+query times the longest candidate reaches the lowest floor (the join's condition, on two
+numbers), and leaves out, in turn, queries whose floor exceeds |q| * |longest of the block|,
+and candidates whose partial sum over the first dimensions plus the product of what is left
+of both lengths stays below the floor. What remains is scored exactly, and only results
+that come before the floor, by score, then vec_id, go on.
 
 Bounds are taken with a margin for rounding, so no pair is lost; ties go to the smaller vec_id.
 """
@@ -65,13 +66,17 @@ def _grams(batches):
     yield pa.record_batch([pa.array(list(sums), type=pa.int32()), pa.array([list(m.ravel()) for m in sums.values()], type=pa.list_(pa.float64()))], names=["dim", "gram"])
 
 
+def _summed(table: pa.Table) -> pa.Table:
+    total = np.sum([np.asarray(g) for g in table.column("gram").to_pylist()], axis=0)
+    return pa.table({"dim": table.column("dim").slice(0, 1), "gram": pa.array([total.tolist()], type=pa.list_(pa.float64()))})
+
+
 def rotation(vectors: DataFrame) -> dict[int, np.ndarray]:
     """For each length of vectors, the rotation onto their right singular vectors, strongest first. Any rotation is exact; this one prunes best."""
-    out: dict[int, np.ndarray] = {}
-    for r in doc_columns(vectors, "dim", "vector").filter("dim > 0").mapInArrow(_grams, "dim int, gram array<double>").toLocalIterator():
-        gram = np.array(r.gram).reshape(r.dim, r.dim)
-        out[r.dim] = out.get(r.dim, 0) + gram
-    return {d: np.linalg.eigh(m)[1][:, ::-1].copy() for d, m in out.items()}
+    kind = "dim int, gram array<double>"
+    each = doc_columns(vectors, "dim", "vector").filter("dim > 0").mapInArrow(_grams, kind).withColumn("slot", F.spark_partition_id() % 32)
+    whole = each.groupBy("dim", "slot").applyInArrow(_summed, kind).groupBy("dim").applyInArrow(_summed, kind)
+    return {r.dim: np.linalg.eigh(np.array(r.gram).reshape(r.dim, r.dim))[1][:, ::-1].copy() for r in whole.toLocalIterator()}  # a matrix for each length
 
 
 def _shrunk(x: np.ndarray) -> bytes:
@@ -99,16 +104,16 @@ def _blocks(vectors: DataFrame, size: int) -> DataFrame:
     if not total:
         return vectors.sparkSession.createDataFrame([], "dim int, block int, longest double, ids binary, vectors binary")
     n = max(1, -(-max(total.values()) // size))
-    ranged = vectors.repartitionByRange(n, F.col("dim"), F.col("norm").desc(), F.col("vec_id")).withColumn("part", F.spark_partition_id())
-    # A range may hold more than a block; it is cut by hash, so that a very frequent vector is spread too.
-    held = ranged.groupBy("dim", "part").agg(F.count("*").alias("n"), F.max("norm").alias("top")).select("dim", "part", F.ceil(F.col("n") / size).cast("int").alias("cut"))
-    part = stored(ranged, "ranged").join(held, ["dim", "part"])
-    cut = part.withColumn("block", F.hash("part", F.pmod(F.xxhash64("vec_id"), F.col("cut"))))
+    ranged = vectors.repartitionByRange(n, F.col("dim"), F.col("norm").desc(), F.col("vec_id"))
+    ranged = stored(ranged.withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}), "ranged")
+    # A range may hold more than a block; it is cut row by row, so that a very frequent vector is spread too.
+    held = ranged.groupBy("dim", "part").agg(F.count("*").alias("n")).select("dim", "part", F.ceil(F.col("n") / size).cast("int").alias("cut"))
+    cut = ranged.join(held, ["dim", "part"]).withColumn("block", F.hash("part", F.pmod("row", F.col("cut"))))
     return cut.groupBy("dim", "block").applyInArrow(_pack, "dim int, block int, longest double, ids binary, vectors binary")
 
 
-def best_in(query: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, vectors: np.ndarray, ids: np.ndarray, turn: np.ndarray, k: int):
-    """(query row, vec_id, score) of the k best of a block for each query, but for those that can't reach the query's floor."""
+def best_in(query: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, floor_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, turn: np.ndarray, k: int):
+    """(query row, vec_id, score) of the k best of a block for each query, of those that come before the query's floor."""
     head = min(HEAD, turn.shape[1])
     q_norm, v_norm = np.sqrt((query**2).sum(axis=1)), np.sqrt((vectors**2).sum(axis=1))
     slack = 1e-9 * (q_norm * v_norm.max(initial=0.0)) + 1e-6
@@ -128,7 +133,7 @@ def best_in(query: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, vectors
                 score = (vectors[c] @ query[r]).astype(np.int64)
             else:
                 score = np.array([sum(int(a) * int(b) for a, b in zip(v, query[r], strict=True)) for v in vectors[c]], dtype=np.int64)
-            keep = score >= floor[r]
+            keep = (score > floor[r]) | (score == floor[r]) & (ids[c] < floor_ids[r])
             c, score = c[keep], score[keep]
             if len(c) > k:
                 edge = np.partition(score, len(score) - k)[len(score) - k]
@@ -147,8 +152,9 @@ def _scored(turns, k: int, seeded: bool):
             dim = row["dim"]
             query, vectors = _widened(row["queries"], len(query_ids)), _widened(row["vectors"], len(ids))
             floor = np.frombuffer(row["floors"], dtype=np.float64) if seeded else np.full(len(query_ids), -np.inf)
+            floor_ids = np.frombuffer(row["floor_ids"], dtype=np.int64) if seeded else np.zeros(len(query_ids), dtype=np.int64)
             turn = turns.value.get(dim, np.eye(dim))
-            found = list(best_in(query, query_ids, floor, vectors, ids, turn, k))
+            found = list(best_in(query, query_ids, floor, floor_ids, vectors, ids, turn, k))
             r = np.array([f[0] for f in found], dtype=np.int64)
             yield pa.record_batch([pa.array(query_ids[r]), pa.array([f[1] for f in found], type=pa.int64()), pa.array([f[2] for f in found], type=pa.int64())], names=["query_id", "vec_id", "score"])
 
@@ -156,41 +162,57 @@ def _scored(turns, k: int, seeded: bool):
 
 
 def _floors(batch: pa.RecordBatch):
-    out = []
-    for ids, at, low in zip(*(batch.column(c).to_pylist() for c in (2, 4, 5)), strict=True):
-        known = dict(zip(at or [], low or [], strict=True))
-        out.append(np.array([known.get(i, -np.inf) for i in np.frombuffer(ids, dtype=np.int64).tolist()], dtype=np.float64).tobytes())
-    yield pa.record_batch([*batch.columns[:4], pa.array(out, type=pa.binary())], names=["dim", "block", "query_ids", "queries", "floors"])
+    """The floors of a block's queries, and the lowest."""
+    floors, floor_ids, lowest = [], [], []
+    for ids, at, low, low_ids in zip(*(batch.column(c).to_pylist() for c in (3, 5, 6, 7)), strict=True):
+        known = dict(zip(at or [], zip(low or [], low_ids or [], strict=True), strict=True))
+        own = [known.get(i, (-np.inf, 0)) for i in np.frombuffer(ids, dtype=np.int64).tolist()]
+        floors.append(np.array([f for f, _ in own], dtype=np.float64).tobytes())
+        floor_ids.append(np.array([i for _, i in own], dtype=np.int64).tobytes())
+        lowest.append(min((f for f, _ in own), default=-np.inf))
+    yield pa.record_batch([*batch.columns[:5], pa.array(floors, type=pa.binary()), pa.array(floor_ids, type=pa.binary()), pa.array(lowest, type=pa.float64())], names=["dim", "block", "q_longest", "query_ids", "queries", "floors", "floor_ids", "lowest"])
 
 
 def top_k(embeddings: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k largest integer inner products of each row whose vec_id is divisible by `every` with all other rows (all of them, if fewer).
 
     Only vectors of the same length have a product. Rows whose vec_id or vector is null,
-    or whose vector has null or non-finite components, take no part. A vec_id is its row's
-    name: rows that repeat one are taken once if they are equal. Other columns are
-    ignored; an empty table gives no rows.
+    or whose vector has null or non-finite components, take no part. Rows may repeat: each is
+    a result of its own. A vec_id is a query's name: rows that share one ask once, with the
+    first of their vectors by length, norm and bytes, and are no results of each other. Other
+    columns are ignored; an empty table gives no rows.
     """
     names = "vec_id long, dim int, norm double, vector binary"
-    vectors = stored(mapped(embeddings, ["vec_id", "embedding"], names, _integers).distinct(), "vectors")
-    queries = vectors.filter(F.col("vec_id") % every == 0)
-    turns = vectors.sparkSession.sparkContext.broadcast(rotation(vectors))  # the square of the vectors' length
+    vectors = stored(mapped(embeddings, ["vec_id", "embedding"], names, _integers), "vectors")
+    asking = F.min(F.struct("dim", "norm", "vector")).alias("v")
+    queries = vectors.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(asking).select("vec_id", "v.dim", "v.norm", "v.vector")
+    spark = vectors.sparkSession
+    turns = spark.sparkContext.broadcast(rotation(vectors))  # the square of the vectors' length
     against = stored(_blocks(vectors, BLOCK), "blocks")
-    asked = stored(_blocks(queries, QUERY_BLOCK).withColumnRenamed("ids", "query_ids").withColumnRenamed("vectors", "queries"), "queries")
+    asked = stored(_blocks(queries, QUERY_BLOCK).withColumnsRenamed({"ids": "query_ids", "vectors": "queries", "longest": "q_longest"}), "queries")
 
     first = against.groupBy("dim").agg(F.max_by("block", "longest").alias("first"))
     marked = against.join(first, "dim").withColumn("seed", F.col("block") == F.col("first"))
-    columns = ["dim", "query_ids", "queries", "floors", "ids", "vectors"]
+    columns = ["dim", "query_ids", "queries", "floors", "floor_ids", "ids", "vectors"]
     scores = "query_id long, vec_id long, score long"
-    seeds = asked.withColumn("floors", F.lit(None).cast("binary")).join(marked.filter("seed").drop("block", "longest"), "dim")
+    none = F.lit(None).cast("binary")
+    seeds = asked.withColumns({"floors": none, "floor_ids": none}).join(marked.filter("seed").drop("block", "longest"), "dim")
     seeded = stored(mapped(seeds.repartition(F.col("block")), columns, scores, _scored(turns, k, False)), "seeds")
 
-    low = seeded.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("n")).filter(F.col("n") >= k).select("query_id", "low")
+    # The k-th by score, then vec_id: ~x turns the order of vec_id round.
+    last = F.min(F.struct("score", F.bitwise_not("vec_id").alias("turned"))).alias("last")
+    low = seeded.groupBy("query_id").agg(last, F.count("*").alias("n")).filter(F.col("n") >= k).select("query_id", F.col("last.score").alias("low"), F.bitwise_not("last.turned").alias("low_id"))
     listed = mapped(asked, ["dim", "block", "query_ids"], "dim int, block int, query_id long", _opened)
-    by_block = listed.join(low, "query_id").groupBy("dim", "block").agg(F.collect_list("query_id").alias("at"), F.collect_list("low").alias("low"))
-    floored = mapped(asked.join(by_block, ["dim", "block"], "left"), ["dim", "block", "query_ids", "queries", "at", "low"], "dim int, block int, query_ids binary, queries binary, floors binary", _floors)
-    rest = floored.withColumnRenamed("block", "query_block").join(marked.filter("NOT seed").drop("longest"), "dim")
-    others = mapped(rest.repartition(F.col("query_block"), F.col("block")), columns, scores, _scored(turns, k, True))
+    by_block = listed.join(low, "query_id").groupBy("dim", "block").agg(*[F.collect_list(c).alias(c) for c in ("query_id", "low", "low_id")])
+    wide = asked.join(by_block, ["dim", "block"], "left")
+    floored = mapped(wide, ["dim", "block", "q_longest", "query_ids", "queries", "query_id", "low", "low_id"], "dim int, block int, q_longest double, query_ids binary, queries binary, floors binary, floor_ids binary, lowest double", _floors)
+    # Candidates go to one slot each and query blocks to all, so that no task has all pairs; the bound decides which pairs are made.
+    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    there = floored.withColumnRenamed("block", "query_block").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    here = marked.filter("NOT seed").withColumn("slot", F.pmod("block", F.lit(slots)))
+    reaches = F.col("q_longest") * F.col("longest") * (1 + 1e-9) + 1e-6 >= F.col("lowest")
+    rest = there.alias("q").join(here.alias("c"), (F.col("q.dim") == F.col("c.dim")) & (F.col("q.slot") == F.col("c.slot")) & reaches).select("q.dim", "query_ids", "queries", "floors", "floor_ids", "ids", "vectors")
+    others = mapped(rest, columns, scores, _scored(turns, k, True))
 
     own = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return seeded.union(others).withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
