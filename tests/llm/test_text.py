@@ -15,6 +15,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from brute import contamination
+
 from tidegate.llm import bpe, decontaminate, html_text, language_id, language_model
 
 SF = "/root/testdata/sf0.001"
@@ -71,6 +73,55 @@ def test_interpolation_by_definition(spark, monkeypatch):
         assert math.isclose(out[i], want, rel_tol=1e-9)
 
 
+def test_learned_scores_by_plain_em(spark):
+    """The whole model by dictionaries: counts, deleted counts, buckets, expectation-maximisation and scores."""
+    rng = random.Random(5)
+    names = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choices(names, weights=range(1, 31), k=rng.randint(0, 25)))) for i in range(150)] + [(7, "w1 w2"), (7, "w1 w2"), (None, "w3 w4 w3")]
+    out = collections.defaultdict(set)
+    for r in language_model.scored(spark.createDataFrame(rows, DOCS)).collect():
+        out[r.doc_id, r.n_tokens].add(round(r.score, 9))
+    part = lambda i: 0 if i is None else fold(i)
+    texts = [(i, ["</s>", *t.split(), "</s>"]) for i, t in rows]
+
+    def counts(keep):
+        one, two = collections.Counter(), collections.Counter()
+        for i, t in texts:
+            if keep(part(i)):
+                one.update(t[1:])
+                two.update(zip(t, t[1:], strict=False))
+        return one, two, sum(one.values())
+
+    one, two, total = counts(lambda k: k != 2)
+    rest_one, rest_two, rest_total = counts(lambda k: k not in (2, 3))
+    types = len(one)
+    bucket = lambda c: 0 if c == 0 else min(math.ceil(math.log2(c)) + 1, language_model.BUCKETS - 1)
+    rounded = lambda p: 2.0 ** (round(4 * math.log2(p)) / 4) if p else 0.0
+    tokens = collections.defaultdict(list)
+    for i, t in texts:
+        if part(i) == 3:
+            for v, w in zip(t, t[1:], strict=False):
+                c = rest_one[v]
+                tokens[bucket(c)].append((rounded(rest_two[v, w] / max(1, c)), rounded(rest_one[w] / rest_total), 1 / (types + 1)))
+    weights = {}
+    for b in range(language_model.BUCKETS):
+        a = [0.0, 0.9, 0.1] if b == 0 else [0.4, 0.5, 0.1]
+        for _ in range(60 if tokens[b] else 0):
+            share = [0.0 if b == 0 else 1.0, 1.0, 1.0]
+            for p in tokens[b]:
+                whole = sum(x * y for x, y in zip(a, p, strict=True))
+                share = [s + x * y / whole for s, x, y in zip(share, a, p, strict=True)]
+            a = [s / sum(share) for s in share]
+        weights[b] = a
+    assert len([b for b in tokens if tokens[b]]) > 3
+    for i, t in texts:
+        want = 0.0
+        for v, w in zip(t, t[1:], strict=False):
+            a = weights[bucket(one[v])]
+            want += math.log10(a[0] * two[v, w] / max(1, one[v]) + a[1] * one[w] / total + a[2] / (types + 1))
+        assert any(math.isclose(got, want, rel_tol=1e-7, abs_tol=1e-7) for got in out[i, len(t) - 1])
+
+
 def test_mixture_learns():
     cells = [(3, -4, -20, 900), (3, -1000, -20, 100)]
     weights = language_model.mixture(cells, 1000)
@@ -118,14 +169,30 @@ def test_contamination_by_brute_force(spark):
     docs, bench = clashing(spark.createDataFrame(rows, DOCS)), spark.createDataFrame(items, "item_id bigint, text string")
     out = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.contamination(docs, bench).collect()}
     raw = [(i, t and t.encode()) for i, t in items]
-    assert out == {i: decontaminate.brute_force((t or "").encode(), raw) for i, t in rows}
-    whole = {r.doc_id: (r.spans, sorted(r.items)) for r in decontaminate.occurrences(docs, bench).collect()}
-    blocks = {r.doc_id: (r.spans, sorted(r.items)) for r in decontaminate.occurrences(docs, bench, broadcast_words=20).collect()}
-    assert whole == blocks
-    clean = {r.doc_id for r in decontaminate.clean(docs, bench, broadcast_words=20).collect()}
+    assert out == {i: contamination((t or "").encode(), raw) for i, t in rows}
+    clean = {r.doc_id for r in decontaminate.clean(docs, bench).collect()}
     assert clean == {i for i, v in out.items() if not v[1]}
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 26])
+def test_contamination_of_repeated_rows(spark, monkeypatch, bits):
+    """Rows stay rows, whatever they share; a bit map that is full changes nothing."""
+    monkeypatch.setattr(decontaminate, "BITS", bits)
+    item = " ".join(f"item{k}" for k in range(14))
+    items = [(1, item), (1, item), (2, "tiny phrase"), (None, " ".join(f"other{k}" for k in range(11))), (3, None)]
+    rows = [(5, "x " + item), (5, "x " + item), (5, "clean"), (None, "a tiny phrase"), (None, "a tiny phrase"), (6, "y other0 other1 " + " ".join(f"other{k}" for k in range(11))), (7, item[: item.rindex(" ")])]
+    docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id bigint, text string")
+    out = sorted(((r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.contamination(docs, bench).collect()))
+    named, nameless = [(i, t and t.encode()) for i, t in items if i], [(0, t.encode()) for i, t in items if i is None]
+    want = []
+    for i, t in rows:
+        a, b = contamination(t.encode(), named), contamination(t.encode(), nameless)
+        want.append((i or 0, a[0], a[1] + b[1], *a[2:]))
+    assert out == sorted(want) and sum(r[2] for r in out) == 14 + 14 + 2 + 2 + 11 + 13
+    kept = sorted((r.doc_id or 0, r.text) for r in decontaminate.clean(docs, bench).collect())
+    assert kept == [(5, "clean")]
+
+
 def test_contamination_edges(spark):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.contamination(spark.createDataFrame([], DOCS), bench).collect() == []

@@ -13,7 +13,12 @@ Tokens are never joined as rows. Documents are dealt into blocks; a block sends
 distinct n-grams, as sorted 64-bit hashes with their training counts, to ranges of hash
 values, a range adds up the counts of all blocks and answers each in the order asked, and
 the block, put together again, looks every token up. So an n-gram of any frequency counts
-once for each block, and what moves grows with the documents.
+once for each block. A block sends nothing to ranges of which it has no n-gram, so there
+are never more packed rows than distinct n-grams of blocks, and what moves grows with the
+documents.
+
+Expectation-maximisation sees the held-out estimates rounded to quarter octaves (factors of
+2 ** 0.25), so that what reaches the driver is a bounded table; scores are not rounded.
 """
 
 from __future__ import annotations
@@ -101,12 +106,14 @@ def _asked(ranges: int):
             found, back = np.unique(hashes, return_inverse=True)
             grams.append((found, np.bincount(back, weights=weight, minlength=len(found)).astype(np.uint32), _ranges(found, ranges)))
         rows = {c: [] for c in ("words", "word_counts", "bigrams", "bigram_counts")}
-        for k in range(ranges):
+        (_, _, a), (_, _, b) = grams
+        held = np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0)).tolist()
+        for k in held:
             for (found, count, at), a, b in zip(grams, ("words", "bigrams"), ("word_counts", "bigram_counts"), strict=True):
                 rows[a].append(_pack_sorted(found[at[k] : at[k + 1]]))
                 rows[b].append(_squeezed(count[at[k] : at[k + 1]]))
         block, tuning = table.column("block")[0].as_py(), table.column("tunes")[0].as_py()
-        return pa.table({"block": pa.array([block] * ranges, type=pa.int32()), "tunes": [tuning] * ranges, "range": pa.array(range(ranges), type=pa.int32()), **{k: pa.array(v, type=pa.binary()) for k, v in rows.items()}})
+        return pa.table({"block": pa.array([block] * len(held), type=pa.int32()), "tunes": pa.array([tuning] * len(held), type=pa.bool_()), "range": pa.array(held, type=pa.int32()), **{k: pa.array(v, type=pa.binary()) for k, v in rows.items()}})
 
     return each
 
