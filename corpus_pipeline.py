@@ -15,12 +15,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Similarity in percent from which the stage takes documents for near copies; op5's 85 is that query's alone.
 NEAR = 80
+#: Score below which the language stage rejects a document; None takes what the model was calibrated to.
+LEAST: float | None = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language ID rejects go; it learns from the labels of a bounded sample."""
+    """Documents that language ID rejects go, by the model's own threshold (or LEAST); those without a label get the predicted one. It learns from the labels of a bounded sample."""
     docs = docs.select(*COLUMNS)
-    return language_id.recognised(docs, language_id.fit(docs))
+    return language_id.recognised(docs, language_id.fit(docs), LEAST)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

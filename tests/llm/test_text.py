@@ -143,6 +143,67 @@ def test_language_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
 
 
+def plain_subwords(text, buckets):
+    """The buckets of a text's subwords, byte by byte."""
+    letters = [b | 32 if 65 <= b < 91 else b if 97 <= b < 123 or b >= 128 else 0 for b in b" " + text + b" " * 5]
+    out = []
+    for at in range(len(text) + 1):
+        for order in language_id.ORDERS:
+            own = letters[at : at + order]
+            # A gap stands at the first or the last place only; two letters at least, or one beside a gap.
+            if any(x == 0 for x in own[1:-1]) or order == 2 and own == [0, 0] or order > 2 and own[1] == 0:
+                continue
+            h = int(language_id._SPREAD[0][own[0]])
+            for j, x in enumerate(own[1:], 1):
+                h = (h * 0x01000193 + int(language_id._SPREAD[j][x])) % 2**32
+            h = (h ^ h >> 15) * 0x85EBCA6B % 2**32
+            out.append(h >> (32 - (buckets.bit_length() - 1)))
+    return out
+
+
+def test_language_by_plain_loops(spark):
+    """Features, logits, scores and rejection of a trained model, one subword at a time."""
+    texts = ["the cat and the dog", "Der Hund, und die Katze!", "le chien; et le chat", "a", "x9y", "", "é", "12 34", "zzz qqq vvv kkk jjj"] + [f"the {w} of it" for w in ("tree", "house", "river", "stone")] + [f"der {w} ist" for w in ("baum", "haus", "fluss", "stein")]
+    langs = ["en", "de", "fr"] + ["en"] * 6 + ["en"] * 4 + ["de"] * 4
+    model = language_id.train([t.encode() for t in texts], langs)
+    buckets = len(model.rows) - 1
+    rows = language_id.predict(spark.createDataFrame(list(enumerate(texts)), DOCS), model).collect()
+    got = language_id.features([t.encode() for t in texts], buckets)
+    for i, text in enumerate(texts):
+        grams = plain_subwords(text.encode(), buckets)
+        counts = collections.Counter(grams)
+        assert {b: n / len(grams) for b, n in counts.items()} == pytest.approx({int(b): float(got[i, b]) for b in np.flatnonzero(got[i])}, rel=1e-5)
+        logits = [sum(float(model.rows[b, k]) for b in grams) / max(1, len(grams)) + float(model.bias[k]) for k in range(len(model.langs))]
+        weights = [math.exp((x - max(logits)) / model.temperature) for x in logits]
+        best = max(weights) / sum(weights)
+        r = next(r for r in rows if r.doc_id == i)
+        if any(c.isalpha() for c in text):
+            assert r.lang_pred == model.langs[weights.index(max(weights))] and math.isclose(r.score, best, rel_tol=1e-4) and r.rejected == (best < model.threshold)
+        else:
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+
+
+def test_language_sample_is_bounded_by_language(spark):
+    rows = [(f"the thing number {i} " + "very " * (i % 7) + "long", "en") for i in range(300)] + [(f"das ding nummer {i}", "de") for i in range(4)] + [("le mot " * 50_000, "fr"), ("le mot", None), (None, "fr"), ("x", "")]
+    seen = []
+    real = language_id.train_on
+    try:
+        language_id.train_on = lambda x, langs: seen.append(collections.Counter(langs)) or real(x, langs)
+        model = language_id.fit(spark.createDataFrame(rows, "text string, lang string"), sample=20)
+    finally:
+        language_id.train_on = real
+    assert seen == [{"en": 20, "de": 4, "fr": 1}] and model.langs == ("de", "en", "fr")
+
+
+def test_recognised_rows(spark):
+    rows = [(1, "the cat and the dog", None, 5), (2, "the cat and the dog", "xx", 5), (3, "12", None, 5), (None, None, None, 5), (4, "the of and", None, 5)]
+    docs = spark.createDataFrame(rows, DOCS + ", lang string, score int")
+    model = language_id.train([b"the cat and the dog", b"der hund und die katze"] * 9, ["en", "de"] * 9)
+    kept = {r.doc_id: r.lang for r in language_id.recognised(docs, model).collect()}
+    assert kept.items() >= {1: "en", 2: "xx"}.items() and 3 not in kept and None not in kept
+    assert language_id.recognised(docs, model, 1.1).count() == 0
+
+
 def test_language_edges(spark):
     schema = DOCS + ", lang string"
     assert language_id.evaluated(spark.createDataFrame([], schema)).collect() == []

@@ -4,8 +4,10 @@ A text's subwords are its byte 2-, 3- and 4-grams within and at the edges of wor
 is not a letter counts as one gap). Each is hashed to a row of an embedding table; the
 mean of the rows goes through a linear layer and a softmax. Table and layer are trained
 together by stochastic gradient descent in numpy, on a bounded sample of labelled texts
-(`SAMPLE` of them, the smallest by a hash of text), and a temperature is fitted on a part
-of the sample that training does not see, so that scores are calibrated. A text is
+(`SAMPLE` of each language, the smallest by a hash of text, so that rare languages are
+learnt too), and a temperature is fitted on a part of the sample that training does not
+see, so that scores are calibrated. The executors count the sampled texts' subwords; what
+reaches the driver is one row of buckets for each, however long the text. A text is
 rejected if its score is below a threshold under which `REJECTED` of that part's
 correct texts fall, at most one half.
 
@@ -15,18 +17,20 @@ a small row for each subword, so whole texts of any length take one pass.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import byte_rows, chunks, doc_columns, mapped
+from .shared import byte_rows, chunks, doc_columns, mapped, stored
 
 UNKNOWN = "und"
-SAMPLE = 4000
+#: Texts of each language that the model learns from, at most.
+SAMPLE = 1000
 BUCKETS = 1 << 12
 DIMENSIONS = 16
 EPOCHS = 12
@@ -109,13 +113,18 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[bytes], langs: list[str], buckets: int = BUCKETS, dimensions: int = DIMENSIONS, epochs: int = EPOCHS, rejected: float = REJECTED) -> Model:
+def train(texts: list[bytes], langs: list[str], buckets: int = BUCKETS) -> Model:
     """A model of the languages given; with no texts, one that knows none."""
-    names = tuple(sorted(set(langs)))
+    return train_on(features(texts, buckets), langs)
+
+
+def train_on(x: np.ndarray, langs: list[str], dimensions: int = DIMENSIONS, epochs: int = EPOCHS, rejected: float = REJECTED) -> Model:
+    """The same from the texts' features."""
+    names, buckets = tuple(sorted(set(langs))), x.shape[1]
     if not names:
         return Model((), np.zeros((buckets + 1, 0), dtype=np.float32), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(0)
-    x, y = features(texts, buckets), np.array([names.index(v) for v in langs])
+    y = np.array([names.index(v) for v in langs])
     order = rng.permutation(len(y))
     aside, order = order[: len(y) // 5], order[len(y) // 5 :]
     table = rng.normal(0, 1 / np.sqrt(dimensions), (buckets, dimensions)).astype(np.float32)
@@ -145,15 +154,25 @@ def train(texts: list[bytes], langs: list[str], buckets: int = BUCKETS, dimensio
     return Model(names, np.vstack([table @ layer, np.zeros((1, len(names)), dtype=np.float32)]).astype(np.float32), bias, temperature, threshold)
 
 
+def _counted(batch: pa.RecordBatch):
+    """(at, lang, packed features) of sampled texts."""
+    shares = [zstandard.compress(row.tobytes(), 1) for row in features(byte_rows(batch.column(2)), BUCKETS)]
+    yield pa.record_batch([batch.column(0), batch.column(1), pa.array(shares, type=pa.binary())], names=["at", "lang", "features"])
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from rows of (text, lang); `sample` bounds the texts, whole ones, that it learns from.
+    """A model from rows of (text, lang); `sample` bounds the texts of each language, whole ones, that it learns from.
 
-    Hashes choose the texts, and only the chosen texts leave the executors. Equal texts are one.
+    Hashes choose the texts; for each of them 4 bytes a bucket reach the driver, at most.
+    Equal texts are one, of the language that comes first.
     """
     known = doc_columns(labelled, "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL AND lang <> ''").withColumn("at", F.xxhash64("text"))
-    last = known.select("at").distinct().orderBy("at").limit(sample).agg(F.max("at")).first()[0]
-    picked = [] if last is None else known.filter(F.col("at") <= last).groupBy("at").agg(F.min("text").alias("text"), F.min("lang").alias("lang")).orderBy("at").collect()
-    return train([r.text.encode() for r in picked], [r.lang for r in picked])
+    own = Window.partitionBy("lang").orderBy("at")
+    chosen = known.groupBy("at").agg(F.min("lang").alias("lang")).withColumn("n", F.row_number().over(own)).filter(F.col("n") <= sample).select("at", F.col("lang").alias("chosen"))
+    texts = known.join(stored(chosen, "chosen"), "at").groupBy("at").agg(F.first("chosen").alias("lang"), F.min("text").alias("text"))
+    picked = mapped(texts, ["at", "lang", "text"], "at long, lang string, features binary", _counted).orderBy("at").collect()
+    rows = [np.frombuffer(zstandard.decompress(r.features), dtype=np.float32) for r in picked]
+    return train_on(np.stack(rows) if rows else np.zeros((0, BUCKETS), dtype=np.float32), [r.lang for r in picked])
 
 
 _ASCII = bytes(range(65, 91)) + bytes(range(97, 123))
@@ -194,16 +213,21 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
     return mapped(documents, ["doc_id", "text"], "doc_id long, lang_pred string, score double, rejected boolean", lambda batch: _predicted(held, batch))
 
 
-def recognised(documents: DataFrame, model: Model) -> DataFrame:
-    """The rows of `documents` whose text the model doesn't reject, with all their columns."""
-    held = documents.sparkSession.sparkContext.broadcast(model)
-    at = documents.columns.index("text")
+def recognised(documents: DataFrame, model: Model, least: float | None = None) -> DataFrame:
+    """The rows of `documents` whose text the model doesn't reject, with all their columns; a null `lang` becomes the predicted one.
+
+    `least` takes the place of the model's own threshold: the score below which a text is rejected.
+    """
+    held = documents.sparkSession.sparkContext.broadcast(model if least is None else replace(model, threshold=least))
+    at, own = documents.columns.index("text"), documents.columns.index("lang")
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 (marked,) = _predicted(held, pa.record_batch([batch.column(at)] * 2, names=["doc_id", "text"]))
-                yield batch.filter(pc.invert(marked.column(3)))
+                lang = batch.column(own)
+                filled = pc.if_else(lang.is_null(), marked.column(1).cast(lang.type), lang)
+                yield batch.set_column(own, batch.schema.field(own), filled).filter(pc.invert(marked.column(3)))
 
     return documents.mapInArrow(run, documents.schema)
 
