@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,20 +19,42 @@ from pyspark.sql import functions as F
 # --------------------------------------------------------------------------
 
 
+_held: dict[str, SparkSession] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; only where that is unset, as in tests, a new one."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; only where that is unset and executors are threads of the driver, as in tests, a new one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[0-9*, ]+\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tidegate-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _remove_held() -> None:
+    """At the program's end: the tables of this application, if its session still runs."""
+    for path, spark in _held.items():
+        try:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        except Exception:  # noqa: S112  the session is gone; what it left is its own folder
+            continue
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder and read again: lineage ends there, and a lost executor costs only tasks."""
+    """`df` written to the shared folder and read again: lineage ends there, and a lost executor costs only tasks.
+
+    Tables lie in a folder of their application, which goes when the program ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/tidegate-{spark.sparkContext.applicationId}"
+    if not _held:
+        atexit.register(_remove_held)
+    _held[folder] = spark
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
