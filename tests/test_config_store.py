@@ -1,6 +1,7 @@
 """Configuration findings and the stores."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidegate import config, store
 from tidegate.model import SCHEDULE_LOG
@@ -79,3 +80,57 @@ def test_table_store(spark):
     assert s.cursor(0) == (25, 2) and s.cursor(1) is None
     with pytest.raises(ValueError):
         store.create("other")
+
+
+def test_views_ids_and_memory():
+    view = config.ConfigView({"store.max-pending": "1_000", "store.wait": "PT5S", "store.fast": "true", "other.x": 1, "store.none": None}, "store.")
+    assert view.keys() == {"max-pending", "wait", "fast"}
+    assert (view.integer("max-pending"), view.duration_ms("wait"), view.flag("fast"), view.text("name", "n"), view.integer("x", 7)) == (1000, 5000, True, "n", 7)
+    for read in (lambda: view.text("name"), lambda: view.integer("wait"), lambda: view.flag("wait"), lambda: view.duration_ms("fast")):
+        with pytest.raises(ValueError, match="store."):
+            read()
+    assert config.writer_id("app", "ingest", "blue-1", 0) == "tidegate.app.ingest.blue-1.0"
+    assert config.member_id("app", "dispatch", "blue-1") == "tidegate.app.dispatch.blue-1" and config.member_id("app", "dispatch", "random") is None
+    for bad in (("a b", "ingest"), ("app", "other")):
+        with pytest.raises(ValueError):
+            config.group_id(*bad)
+    base = {"route": {"source": "a", "destination": "b", "dlq": "c"}, "dispatch": {"pending": {"max-per-partition": 1000}}}
+    findings = lambda memory: [f.severity for f in config.load(base, memory_bytes=memory, partitions=2)[1].findings if f.path == "dispatch.pending.max-per-partition"]
+    assert [findings(m) for m in (0, 2000 * config.ENTRY_BYTES - 1, 2000 * config.ENTRY_BYTES, 1 << 30)] == [[], ["ERROR"], ["WARNING"], ["INFO"]]
+    _, report = config.load({**base, "route": {**base["route"], "dead-letter": "x"}, "observability": {"port": 70_000, "bind-address": "0.0.0.0"}})
+    found = {(f.severity, f.path) for f in report.findings}
+    assert {("ERROR", "route.dead-letter"), ("ERROR", "observability.port"), ("WARNING", "observability.bind-address")} <= found
+    assert any("route.dlq here" in f.message for f in report.findings)
+
+
+def test_store_life(spark):
+    rows = [(0, 1, "ADD", 5, 100, False, None), (0, 2, "COMPLETE", 5, None, None, "DROPPED"), (0, 3, "ADD", 6, 50, True, None), (1, 1, "ADD", 1, 10, False, None)]
+    held = {"log": spark.createDataFrame(rows, SCHEDULE_LOG)}
+    s = store.create("log", spark, lambda: held["log"], lambda _: None, lambda log: held.update(log=spark.createDataFrame(log.collect(), SCHEDULE_LOG)))
+    assert (s.capabilities.kind, s.capabilities.exactly_once, s.capabilities.replays) == ("log", True, True)
+    report = config.Report()
+    s.configure(config.ConfigView({"store.max-pending": -1}, "store."))
+    s.validate(report)
+    assert not report.ok
+    s.start()
+    with pytest.raises(RuntimeError):
+        s.start()
+    pins = spark.createDataFrame([], "source_partition int, log_offset bigint, source_offset bigint, dispatch_at_ms bigint, clamped boolean")
+    cursors = "source_partition int, cursor_offset bigint, max_seen bigint"
+    got = s.recover(pins, spark.createDataFrame([(0, 1, None), (1, 1, None)], cursors))
+    assert {(r.source_partition, r.source_offset) for r in got.collect()} == {(0, 6), (1, 1)}
+    with pytest.raises(ValueError, match="beyond"):
+        s.recover(pins, spark.createDataFrame([(0, 99, None)], cursors))
+    batch = s.poll_due(60, 10)
+    assert batch.count() == 2
+    s.abort(batch, 60)
+    s.abort(batch.filter(F.col("source_partition") == 0), 60)
+    assert s._not_before == {0: 160, 1: 110} and s.poll_due(60, 10).count() == 0
+    s.committed({0})
+    assert [r.source_partition for r in s.poll_due(60, 10).collect()] == [0]
+    s.maintenance()
+    assert sorted((r.source_partition, r.source_offset) for r in held["log"].collect()) == [(0, 6), (1, 1)]
+    s.close()
+    assert s.pending_count(0) == 0
+    t = store.create("table", spark, lambda: spark.createDataFrame([(0, 3, 30, False, False, 1), (0, 1, 90, False, False, 1), (1, 1, 5, False, True, 2)], "source_partition int, source_offset bigint, dispatch_at_ms bigint, clamped boolean, dispatched boolean, version bigint"), lambda _: None)
+    assert t.capabilities.kind == "table" and [tuple(r) for r in t.coordinates().collect()] == [(0, 30, 3)]

@@ -46,8 +46,9 @@ def test_fold_compaction_and_recovery(spark, seed):
     rows = random_log(seed)
     log = spark.createDataFrame(rows, SCHEDULE_LOG).cache()
     expected = model(rows)
-    assert rows_of(schedule_log.folded(log)) == expected
-    assert rows_of(schedule_log.folded(schedule_log.compacted(log))) == expected
+    for span in (schedule_log.RANGE, 7):
+        assert rows_of(schedule_log.folded(log, span)) == expected
+        assert rows_of(schedule_log.folded(schedule_log.compacted(log, span), span)) == expected
     at = 120
     before = log.filter(F.col("log_offset") < at)
     cursors = before.filter("op = 'ADD'").groupBy("source_partition").agg(F.lit(at).cast("bigint").alias("cursor_offset"), F.max("source_offset").alias("max_seen"))
@@ -100,3 +101,22 @@ def test_empty_log(spark):
     log = spark.createDataFrame([], SCHEDULE_LOG)
     assert schedule_log.folded(log).count() == 0
     assert due.next_deadline(schedule_log.folded(log)).first()[0] is None
+
+
+def test_budget_cuts_and_pointers_beyond_a_broadcast(spark, monkeypatch):
+    batch = fetch.runs(fetch.positioned(spark.createDataFrame([(p, o, o) for p in range(3) for o in range(6)], "source_partition int, source_offset bigint, dispatch_at_ms bigint"), "dispatch_at_ms", "source_partition"))
+    source = spark.createDataFrame([(p, o, bytes(o), bytes(10)) for p in range(2) for o in range(2, 6)], "partition int, offset bigint, key binary, value binary")
+    rows = []
+    for limit in (100_000, 5):
+        monkeypatch.setattr(fetch, "BROADCAST_POINTERS", limit)
+        out = fetch.within_budget(fetch.with_outcome(fetch.refetched(batch, source, 18), fetch.log_starts(source)), 40)
+        rows.append(sorted((r.source_partition, r.source_offset, r.fetch_outcome) for r in out.collect()))
+    assert rows[0] == rows[1]
+    assert [r[2] for r in rows[0]] == ["GONE", "GONE", "FOUND", "FOUND", "FOUND", "FOUND"] + ["CARRY_OVER"] * 12
+
+
+def test_a_scan_that_went_past_proves_loss(spark):
+    batch = spark.createDataFrame([(0, 5, False), (0, 9, False), (1, 5, False)], "source_partition int, source_offset bigint, found boolean").withColumns({"key": F.lit(None).cast("binary"), "value": F.lit(None).cast("binary"), "scanned": F.when(F.col("source_partition") == 0, 8)})
+    starts = spark.createDataFrame([(0, 1), (1, 1)], "source_partition int, log_start bigint")
+    out = fetch.with_outcome(batch, starts, F.col("scanned"))
+    assert sorted((r.source_partition, r.source_offset, r.fetch_outcome) for r in out.collect()) == [(0, 5, "GONE"), (0, 9, "TRANSIENT"), (1, 5, "TRANSIENT")]

@@ -34,6 +34,10 @@ DEFAULTS: dict[str, object] = {
     "dispatch.max-bytes": 32 << 20,
     "dispatch.time-slice": "PT1M",
     "dispatch.idle-commit": "PT30S",
+    "observability.kind": "none",
+    "observability.port": 8081,
+    "observability.bind-address": "127.0.0.1",
+    "instance.id": "",
     "dispatch.on-unfetchable": "DLQ",
     "dispatch.cursor.sidecar-max-bytes": 3072,
     "dispatch.fetch.timeout": "PT30S",
@@ -118,7 +122,13 @@ def env_path(name: str) -> str | None:
     return ".".join(p.lower().replace("_", "-") for p in name[len(ENV_PREFIX) :].split("__"))
 
 
+#: Keys that people look for under another name.
+MOVED = {"dispatch.delay.max": "delay.max", "route.dead-letter": "route.dlq", "ingest.on-malformed": "delay.on-malformed", "dispatch.budget": "dispatch.max-bytes", "route.on-unrelayable": "route.relay.on-unrelayable"}
+
+
 def suggestion(path: str) -> str:
+    if path in MOVED:
+        return f"; it is {MOVED[path]} here"
     plain = {re.sub(r"[-_.]", "", k).lower(): k for k in DEFAULTS}
     same = plain.get(re.sub(r"[-_.]", "", path).lower())
     near = [same] if same else difflib.get_close_matches(path, DEFAULTS, 1)
@@ -181,8 +191,8 @@ def parse_yaml(text: str) -> dict:
     return root
 
 
-def load(source: str | Path | Mapping | None = None, env: Mapping[str, str] | None = None, overrides: Mapping[str, object] | None = None) -> tuple[dict[str, object], Report]:
-    """Defaults, then the file or mapping, then the environment, then overrides; with findings."""
+def load(source: str | Path | Mapping | None = None, env: Mapping[str, str] | None = None, overrides: Mapping[str, object] | None = None, memory_bytes: int = 0, partitions: int = 1) -> tuple[dict[str, object], Report]:
+    """Defaults, then the file or mapping, then the environment, then overrides; with findings. `memory_bytes` is what the state of so many source partitions may take (0: any)."""
     report, env = Report(), env or {}
     if isinstance(source, (str, Path)):
         try:
@@ -203,7 +213,7 @@ def load(source: str | Path | Mapping | None = None, env: Mapping[str, str] | No
                 report.error(path, f"unknown key{suggestion(path)}")
             elif value is not None:
                 out[path] = _typed(path, interpolated(value, env, path, report), report)
-    validate(out, report)
+    validate(out, report, memory_bytes, partitions)
     return out, report
 
 
@@ -237,6 +247,11 @@ def validate(config: Mapping[str, object], report: Report, memory_bytes: int = 0
         report.error("dispatch.penalty.max", "must not be below dispatch.penalty.initial")
     if lengths.get("dispatch.time-slice", 0) > lengths.get("source.max-poll-interval", 0) // 3:
         report.error("dispatch.time-slice", "must not be over a third of source.max-poll-interval")
+    port = config["observability.port"]
+    if not isinstance(port, int) or not 0 <= port <= 65_535:
+        report.error("observability.port", "must be 0 to 65535")
+    if config["observability.bind-address"] in ("", "0.0.0.0"):
+        report.warn("observability.bind-address", "health and counters are open to every network")
     if memory_bytes:
         need = partitions * int(config["dispatch.pending.max-per-partition"]) * ENTRY_BYTES
         tell = report.error if need > memory_bytes else report.warn if 2 * need > memory_bytes else report.info
@@ -255,9 +270,63 @@ def retention_findings(delay_max_ms: int, retention_ms: int, report: Report, tom
 
 
 def foreign_writers(principals: set[str], own: set[str]) -> set[str]:
+    """Who may write to the schedule log besides the engine."""
     return principals - own
 
 
+class ConfigView:
+    """The keys below a prefix, read by type; a missing key without a default, or a value of another type, raises ValueError with the whole path."""
+
+    def __init__(self, values: Mapping[str, object], prefix: str = ""):
+        self._values, self._prefix = values, prefix
+
+    def keys(self) -> set[str]:
+        return {k.removeprefix(self._prefix) for k, v in self._values.items() if k.startswith(self._prefix) and v is not None}
+
+    def _read(self, key: str, default: object, kind: str, convert):
+        value = self._values.get(self._prefix + key)
+        if value is None:
+            if default is None:
+                raise ValueError(f"{self._prefix + key} is required")
+            return default
+        try:
+            return convert(value)
+        except (KeyError, ValueError) as e:
+            raise ValueError(f"{self._prefix + key}: {value!r} is no {kind}") from e
+
+    def text(self, key: str, default: str | None = None) -> str:
+        return self._read(key, default, "text", str)
+
+    def integer(self, key: str, default: int | None = None) -> int:
+        return self._read(key, default, "whole number", lambda v: int(str(v).replace("_", "")))
+
+    def duration_ms(self, key: str, default: int | None = None) -> int:
+        return self._read(key, default, "duration", lambda v: duration_ms(str(v)))
+
+    def flag(self, key: str, default: bool | None = None) -> bool:
+        return self._read(key, default, "flag", lambda v: {"true": True, "false": False}[str(v).lower()])
+
+
+SIDES = ("ingest", "dispatch")
+
+
+def group_id(application: str, side: str) -> str:
+    """The name of a side's query: checkpoints, ledgers and consumer groups bear it."""
+    if side not in SIDES or not re.fullmatch(r"[A-Za-z0-9._-]+", application):
+        raise ValueError(f"{application!r} / {side!r} make no id")
+    return f"tidegate.{application}.{side}"
+
+
+def member_id(application: str, side: str, instance: str) -> str | None:
+    """The name that a member keeps over restarts; none for an instance called random."""
+    return None if instance == "random" else f"{group_id(application, side)}.{instance}"
+
+
+def writer_id(application: str, side: str, instance: str, worker: int) -> str:
+    """The name under which one worker of an instance writes; equal after a restart, so that the newer one is known to replace the older."""
+    return f"{group_id(application, side)}.{instance}.{worker}"
+
+
 def relay_options(config: Mapping[str, object]) -> RelayOptions:
     from .model import HeaderNames
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,8 +56,9 @@ def sanitized(text: Column, limit: int = 40) -> Column:
     return F.when(F.char_length(text) > limit, F.concat(clean, F.lit("…"))).otherwise(clean)
 
 
-def sanitized_reason(text: Column, limit: int = 64) -> Column:
-    return F.regexp_replace(F.substring(text, 1, limit), r"[\x00-\x1f\x7f-\x9f]", "?")
+def printable(text: str, limit: int = 64) -> str:
+    """Text of a finding or a reason without control characters, cut to `limit`; for records made on the driver."""
+    return re.sub(r"[\x00-\x1f\x7f-\x9f]", "?", text[:limit])
 
 
 def ascii_bytes(x: Column) -> Column:

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .config import ConfigView, Report
 from .operators import cursor, due, schedule_log, settle
 
 
@@ -31,11 +32,51 @@ class SchedulerStore(ABC):
         self._active: set[int] = set()
         self._recovering: set[int] = set()
         self._not_before: dict[int, int] = {}
+        self._streaks: dict[int, int] = {}
+        self._state = "new"
+        self.limit = 0
 
     @property
     @abstractmethod
     def capabilities(self) -> Capabilities: ...
 
+    # A store is configured, validated and started before anything is polled, and closed at the end.
+
+    def configure(self, view: ConfigView) -> None:
+        """Take what the store needs from its own part of the configuration."""
+        self.limit = view.integer("max-pending", 0)
+
+    def validate(self, report: Report) -> None:
+        """Add what speaks against a start."""
+        if self.limit < 0:
+            report.error("store.max-pending", "must not be negative")
+
+    def start(self) -> None:
+        if self._state != "new":
+            raise RuntimeError(f"a store that is {self._state} can't start")
+        self._state = "started"
+
+    def close(self) -> None:
+        self._state = "closed"
+        self._active.clear()
+        self._recovering.clear()
+
+    def abort(self, batch: DataFrame, now_ms: int, initial_ms: int = 50, longest_ms: int = 10_000) -> None:
+        """A polled batch was not committed: its entries stay pending, and their partitions wait, longer with each time in a row."""
+        for r in batch.select("source_partition").distinct().collect():  # partitions, not entries
+            p = r.source_partition
+            self._streaks[p] = self._streaks.get(p, 0) + 1
+            self.penalize(p, now_ms + min(longest_ms, initial_ms << min(self._streaks[p] - 1, 30)))
+
+    def committed(self, partitions: set[int]) -> None:
+        """Batches of these partitions went through: no penalty is left."""
+        for p in partitions:
+            self._streaks.pop(p, None)
+            self._not_before.pop(p, None)
+
+    def maintenance(self) -> None:
+        """What a store does between batches, such as compaction; nothing, unless it says otherwise."""
+
     @abstractmethod
     def pending(self) -> DataFrame:
         """source_partition, source_offset, dispatch_at_ms, clamped (and log_offset, if there is a log)."""
@@ -76,9 +117,24 @@ class SchedulerStore(ABC):
 class LogStore(SchedulerStore):
     """Reads entries from a log; commits are completions appended to it."""
 
-    def __init__(self, spark: SparkSession, log: Callable[[], DataFrame], append: Callable[[DataFrame], None]):
+    def __init__(self, spark: SparkSession, log: Callable[[], DataFrame], append: Callable[[DataFrame], None], replace: Callable[[DataFrame], None] | None = None):
         super().__init__(spark)
-        self._log, self._append = log, append
+        self._log, self._append, self._replace = log, append, replace
+
+    def maintenance(self) -> None:
+        """Put the compacted log in the log's place, if there is a way to."""
+        if self._replace is not None:
+            self._replace(schedule_log.compacted(self._log()))
+
+    def recover(self, pinned: DataFrame, cursors: DataFrame) -> DataFrame:
+        """Pending entries from committed cursors and the log behind them, up to its end as of now; the partitions are active then."""
+        log = self._log()
+        barriers = schedule_log.high_watermarks(log).withColumnRenamed("high_watermark", "barrier")
+        beyond = cursors.join(barriers, "source_partition", "left").filter("barrier IS NULL OR cursor_offset > barrier").first()
+        if beyond:
+            raise ValueError(f"partition {beyond.source_partition}: the cursor {beyond.cursor_offset} is beyond the log's end")
+        self.recovered({r.source_partition for r in cursors.select("source_partition").distinct().collect()})
+        return cursor.recovered(pinned, log, cursors, barriers)
 
     @property
     def capabilities(self) -> Capabilities:
@@ -130,6 +186,11 @@ class TableStore(SchedulerStore):
     def scan_pending(self, partition: int) -> DataFrame:
         return self.pending().filter(F.col("source_partition") == partition)
 
+    def coordinates(self) -> DataFrame:
+        """(source_partition, dispatch_at_ms, source_offset) of each partition's first pending entry: all before it is settled. What another engine needs to take over."""
+        first = F.min(F.struct("dispatch_at_ms", "source_offset")).alias("first")
+        return self.pending().groupBy("source_partition").agg(first).select("source_partition", "first.*")
+
     def cursor(self, partition: int) -> tuple[int, int] | None:
         """(due time, source offset) of the first pending entry: all before it is settled."""
         row = self.scan_pending(partition).orderBy("dispatch_at_ms", "source_offset").first()

@@ -250,3 +250,10 @@ class Dispatcher:
     @property
     def degraded(self) -> bool:
         return self.counters.streak >= self.limits.degraded_after
+
+    def snapshot(self, stale_ms: int = 60_000) -> dict:
+        """What the endpoints show: a loop is alive while its last pass is not too long ago (or it has just begun), and ready once it has recovered and doesn't fail."""
+        c = self.counters
+        alive = c.last_pass_ms is None or self.clock() - c.last_pass_ms <= max(stale_ms, 2 * self.limits.idle_ms)
+        reasons = {} if alive else {"pass": f"the last pass was at {c.last_pass_ms}"}
+        return {"live": alive, "ready": alive and self.recovered and not c.streak, "degraded": self.degraded, "reasons": reasons, "counters": vars(c)}
