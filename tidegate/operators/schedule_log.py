@@ -94,37 +94,34 @@ def known_reason(reason: Column) -> Column:
     return reason.isin(*COMPLETION_REASONS)
 
 
-#: Log offsets that one window goes over, at most; a partition's log is cut into ranges of as many.
+#: Source offsets that one window goes over, at most; a partition is cut into ranges of as many.
 RANGE = 1 << 20
 
 
-def _with_seen(log: DataFrame, span: int = RANGE) -> DataFrame:
-    """The log with the largest source offset added before each entry in its partition.
-
-    A running maximum, but not over a whole partition in one task: each range of log offsets
-    has its largest, a window over those few rows has the largest before each range, and
-    a window within each range has the rest. The last window and the join share one exchange.
-    """
-    added = F.when(F.col("op") == "ADD", F.col("source_offset"))
-    ranged = log.withColumn("_range", F.floor(F.col("log_offset") / F.lit(span)))
-    tops = ranged.groupBy("source_partition", "_range").agg(F.max(added).alias("_most"))
-    earlier = Window.partitionBy("source_partition").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select("source_partition", "_range", F.max("_most").over(earlier).alias("_before"))
-    before = Window.partitionBy("source_partition", "_range").orderBy("log_offset").rowsBetween(Window.unboundedPreceding, -1)
-    wide = ranged.join(tops, ["source_partition", "_range"])
-    return wide.withColumn("seen", F.greatest(F.max(added).over(before), "_before")).select(*log.columns, "seen")
-
-
 def _entries(log: DataFrame, span: int) -> DataFrame:
-    """By (partition, source offset): where it was inserted, its newest due time and flag, and where it was completed last."""
+    """By (partition, source offset): its first ADD and whether that inserts, its newest due time and flag, its ADDs, and where it was completed last.
+
+    An ADD inserts if no larger source offset was added before it, so only the first of a
+    source offset can, and it does if it stands before the first ADD of every larger
+    offset. The log is read once, for an aggregate with partial results in the map tasks.
+    On its rows, each range of source offsets has its earliest ADD, a window over those few
+    has the earliest beyond each range, and a window within each range has the rest: no
+    task goes over a whole partition.
+    """
     added, at = F.col("op") == "ADD", F.col("log_offset")
-    inserts = added & (F.col("seen").isNull() | (F.col("source_offset") > F.col("seen")))
-    return _with_seen(log, span).groupBy("source_partition", "source_offset").agg(
-        F.min(F.when(inserts, at)).alias("log_offset"),
+    by_key = log.groupBy("source_partition", "source_offset").agg(
+        F.min(F.when(added, at)).alias("first_add"),
         F.max_by("dispatch_at_ms", F.when(added, at)).alias("dispatch_at_ms"),
         F.max_by("clamped", F.when(added, at)).alias("clamped"),
         F.max(F.when(F.col("op") == "COMPLETE", at)).alias("done_at"),
-    )
+        F.count_if(added).alias("adds"),
+    ).withColumn("_range", F.floor(F.col("source_offset") / F.lit(span)))
+    beyond = Window.partitionBy("source_partition").orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = by_key.groupBy("source_partition", "_range").agg(F.min("first_add").alias("_first")).select("source_partition", "_range", F.min("_first").over(beyond).alias("_beyond"))
+    larger = Window.partitionBy("source_partition", "_range").orderBy(F.col("source_offset").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    wide = by_key.join(ranges, ["source_partition", "_range"]).withColumn("_earliest", F.least(F.min("first_add").over(larger), "_beyond"))
+    inserts = F.col("first_add").isNotNull() & (F.col("_earliest").isNull() | (F.col("first_add") < F.col("_earliest")))
+    return wide.select("source_partition", "source_offset", F.when(inserts, F.col("first_add")).alias("log_offset"), "dispatch_at_ms", "clamped", "done_at", "adds")
 
 
 _PENDING = "log_offset IS NOT NULL AND (done_at IS NULL OR done_at < log_offset)"
@@ -138,15 +135,15 @@ def folded(log: DataFrame, span: int = RANGE) -> DataFrame:
     other ADD is ignored. A COMPLETE removes an entry inserted earlier; a completed one
     never returns. CANCEL and INVALID entries change nothing.
 
-    Windows over ranges of a partition's log decide what inserts; all else is one
-    aggregate by (partition, source offset), with partial results in the map tasks.
+    One aggregate by (partition, source offset) and windows over ranges of its rows; see
+    `_entries`.
     """
-    return _entries(log, span).filter(_PENDING).drop("done_at")
+    return _entries(log, span).filter(_PENDING).drop("done_at", "adds")
 
 
-def anomalies(log: DataFrame) -> DataFrame:
-    """source_partition and anomalies: ADDs at or below the largest offset seen before them."""
-    return _with_seen(log).filter("op = 'ADD'").groupBy("source_partition").agg(F.count_if(F.col("source_offset") <= F.col("seen")).alias("anomalies"))
+def anomalies(log: DataFrame, span: int = RANGE) -> DataFrame:
+    """source_partition and anomalies: ADDs at or below the largest offset seen before them, which are all that don't insert."""
+    return _entries(log, span).filter("adds > 0").groupBy("source_partition").agg((F.sum("adds") - F.count("log_offset")).alias("anomalies"))
 
 
 def high_watermarks(log: DataFrame) -> DataFrame:
@@ -160,6 +157,7 @@ def compacted(log: DataFrame, span: int = RANGE) -> DataFrame:
     later ADDs at or below it must still be ignored. The fold's aggregate names what stays;
     a semi join keeps it.
     """
-    tops = log.filter("op = 'ADD'").groupBy("source_partition").agg(F.max("source_offset").alias("source_offset"))
-    stays = _entries(log, span).filter(_PENDING).select("source_partition", "source_offset").union(tops)
+    entries = _entries(log, span)
+    tops = entries.filter("adds > 0").groupBy("source_partition").agg(F.max("source_offset").alias("source_offset"))
+    stays = entries.filter(_PENDING).select("source_partition", "source_offset").union(tops)
     return log.join(stays, ["source_partition", "source_offset"], "left_semi").select(*log.columns)
