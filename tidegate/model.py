@@ -90,6 +90,8 @@ class RelayOptions:
     timestamps: str = "DISPATCH"
     partitioning: str = "BY_KEY"
     max_message_bytes: int = 1_048_576
+    #: Largest record that the dead-letter topic takes; 0: any that the source has.
+    max_dlq_bytes: int = 0
     names: HeaderNames = field(default_factory=HeaderNames)
 
     def __post_init__(self):

@@ -8,17 +8,20 @@ from pyspark.sql import functions as F
 from ..model import RelayOptions
 
 
-def settlements(outcomes: DataFrame, options: RelayOptions, rejected: Column | None = None) -> DataFrame:
+def settlements(outcomes: DataFrame, options: RelayOptions, rejected: Column | None = None, undeliverable: Column | None = None) -> DataFrame:
     """`outcomes` with route (RELAY, DLQ_EXPIRED, DLQ_UNRELAYABLE, DROP, FAIL or CARRY) and reason, the completion it leaves.
 
-    `rejected` marks found records that the destination refuses for good.
+    `rejected` marks found records that the destination refuses for good, `undeliverable`
+    those that the dead-letter topic refuses as well: where they should go there, nothing
+    may be lost, so they FAIL.
     """
     refused = F.lit(False) if rejected is None else F.coalesce(rejected, F.lit(False))
     gone = {"DLQ": "DLQ_EXPIRED", "DROP": "DROP", "FAIL": "FAIL"}[options.on_unfetchable]
     bad = {"DLQ": "DLQ_UNRELAYABLE", "DROP": "DROP", "FAIL": "FAIL"}[options.on_unrelayable]
     outcome = F.col("fetch_outcome")
     out = outcomes.withColumn("_bad", (outcome == "FOUND") & refused)
-    out = out.withColumn("route", F.when(F.col("_bad"), bad).when(outcome == "FOUND", "RELAY").when(outcome == "GONE", gone).otherwise("CARRY"))
+    lost = F.lit(False) if undeliverable is None or bad != "DLQ_UNRELAYABLE" else F.coalesce(undeliverable, F.lit(False))
+    out = out.withColumn("route", F.when(F.col("_bad") & lost, "FAIL").when(F.col("_bad"), bad).when(outcome == "FOUND", "RELAY").when(outcome == "GONE", gone).otherwise("CARRY"))
     reason = (
         F.when(F.col("route").isin("CARRY", "FAIL"), F.lit(None))
         .when(F.col("_bad"), "REJECTED")

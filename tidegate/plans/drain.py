@@ -18,11 +18,12 @@ def settled(pending: DataFrame, source: DataFrame, now_ms: Column, options: Rela
     """The same from pending entries. A found record is refused if it is in `refused` (source_partition, source_offset) or larger than the destination takes."""
     batch = fetch.runs(fetch.positioned(due.top_due(pending, now_ms, most, penalties), *due.ORDER))
     outcomes = fetch.within_budget(fetch.with_outcome(fetch.refetched(batch, source, most), fetch.log_starts(source)), budget)
-    too_large = F.col("bytes") + policy.header_bytes(F.col("headers")) > options.max_message_bytes
+    size = F.col("bytes") + policy.header_bytes(F.col("headers"))
+    rejected = size > options.max_message_bytes
     if refused is not None:
         outcomes = settle.with_refused(outcomes, refused)
-        too_large = too_large | F.col("rejected")
-    return settle.settlements(outcomes, options, too_large)
+        rejected = rejected | F.col("rejected")
+    return settle.settlements(outcomes, options, rejected, size > options.max_dlq_bytes if options.max_dlq_bytes else None)
 
 
 def outputs(decided: DataFrame, now_ms: Column, options: RelayOptions) -> dict[str, DataFrame]:

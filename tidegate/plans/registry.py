@@ -584,6 +584,20 @@ def settlements_fail(s, d):
     return _settled(s, d, options, _refused(s, d)).select("source_partition", "source_offset", "route", "reason")
 
 
+_DLQ_LARGEST = 48
+
+
+@query(
+    "settlements_escalated",
+    _CUT,
+    f"SELECT c.p AS source_partition, c.o AS source_offset, CASE WHEN outcome = 'FOUND' AND c.o % 7 = 3 THEN CASE WHEN size > {_DLQ_LARGEST} THEN 'FAIL' ELSE 'DLQ_UNRELAYABLE' END WHEN outcome = 'FOUND' THEN 'RELAY' WHEN outcome = 'GONE' THEN 'DLQ_EXPIRED' ELSE 'CARRY' END AS route "
+    f"FROM cut c LEFT JOIN (SELECT p AS sp, o AS so, bytes + {_HEADER_BYTES} AS size FROM src) s ON s.sp = c.p AND s.so = c.o",
+)
+def settlements_escalated(s, d):
+    options = RelayOptions(delay_max_ms=DELAY_MAX, max_dlq_bytes=_DLQ_LARGEST)
+    return _settled(s, d, options, _refused(s, d)).select("source_partition", "source_offset", "route")
+
+
 @query("rejected_keys", _CUT, "SELECT p AS source_partition, o AS source_offset, outcome = 'FOUND' AND o % 7 = 3 AS rejected FROM cut")
 def rejected_keys(s, d):
     return _settled(s, d, DLQ, _refused(s, d)).select("source_partition", "source_offset", (F.col("route") == "DLQ_UNRELAYABLE").alias("rejected"))
