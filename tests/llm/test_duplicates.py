@@ -71,6 +71,33 @@ def test_near_duplicates_edges(spark):
         near_dup.near_duplicates(spark.createDataFrame([], DOCS), 50)
 
 
+def test_near_duplicates_of_rows_that_share_names(spark):
+    """Every row is a document with links of its own; a class without ids has none."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(100)) for k in "abc")
+    near = a.replace("a50 ", "other ")
+    rows = [(7, a), (7, b), (3, near), (9, b), (None, c), (None, c.replace("c50 ", "other ")), (None, near), (7, a)]
+    out = near_dup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in out)
+    assert got == {(7, 3, False): 2, (7, 7, True): 1, (3, 3, True): 1, (9, 7, False): 1, (None, None, True): 2, (None, 3, False): 1}
+
+
+def test_near_duplicates_that_chain(spark, monkeypatch):
+    """Families in which neighbours are alike and ends are not: no link between different texts is lost."""
+    rng = random.Random(13)
+    rows = []
+    for family in range(3):
+        text = [f"f{family}w{i}" for i in range(120)]
+        for copy in range(25):
+            text = list(text)
+            text[rng.randrange(120)] = f"f{family}c{copy}"
+            rows.append((family * 100 + copy, " ".join(text)))
+    rng.shuffle(rows)
+    for block in (1024, 4):
+        monkeypatch.setattr(near_dup, "BLOCK", block)
+        out = near_dup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == classes(rows)
+
+
 def test_odd_sketch_estimates(spark):
     rng = random.Random(1)
     base = [rng.getrandbits(63) for _ in range(400)]
@@ -102,7 +129,9 @@ def test_cuts_byte_by_byte():
     assert substring_dedup.cuts(texts) == [gear_cuts(t) for t in texts]
 
 
-def test_substrings_by_brute_force(spark):
+@pytest.mark.parametrize("bits", [64, 1 << 26])
+def test_substrings_by_brute_force(spark, monkeypatch, bits):
+    monkeypatch.setattr(substring_dedup, "BITS", bits)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
     out = {r.doc_id: (r.text or "").encode() for r in substring_dedup.deduplicated(docs).collect()}
@@ -204,6 +233,32 @@ def test_repeated_strings_edges(spark):
     assert len(out) == len(rows) and {r.n_removed for r in out if r.doc_id == 1} == {600}
 
 
+@pytest.mark.parametrize("block", [1024, 3])
+def test_repeated_strings_of_rows_that_share_names(spark, monkeypatch, block):
+    """Every row is a text: shared ids with different texts, no ids, rows that repeat each other."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    rng = random.Random(9)
+    texts = [" ".join(words(rng, 150)) for _ in range(4)]
+    passage = " ".join(words(rng, 110))
+    rows = [(1, texts[0]), (1, texts[1] + passage), (1, passage + texts[2]), (None, texts[3]), (None, texts[3]), (None, texts[3]), (None, "é" + passage), (2, texts[0]), (2, texts[0]), (3, None), (None, None)]
+    rows += [(10 + i, passage[:-40] + f"{i:04d}" * 12 + " ".join(words(rng, 9))) for i in range(12)]
+    want = removed([(k, t) for k, (_, t) in enumerate(rows)])
+    out = suffix_dedup.deduplicated(spark.createDataFrame(rows, DOCS)).collect()
+    got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out)
+    assert got == collections.Counter((i, *want[k]) for k, (i, _) in enumerate(rows))
+
+
+def test_hot_keys_are_cut_again(spark, monkeypatch):
+    """Many different segments of one key, at every level and down to single windows."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 2)
+    rng = random.Random(10)
+    core = "".join(rng.choices("abcdefghij ", k=405))
+    rows = [(i, "".join(rng.choices("klmnop", k=rng.randint(0, 60))) + core[rng.randint(0, 30) : 405 - rng.randint(0, 30)] + "".join(rng.choices("qrstuv", k=rng.randint(0, 60)))) for i in range(40)]
+    rows += [(100 + i, core + str(i)) for i in range(3)]
+    out = suffix_dedup.deduplicated(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == removed(rows)
+
+
 def test_column_wise_construction():
     rng = random.Random(7)
     for trial in range(60):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from brute import contamination
 
-from tidegate.llm import bpe, decontaminate, html_text, language_id, language_model
+from tidegate.llm import bpe, decontaminate, html_text, language_id, language_model, shared
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string"
@@ -254,6 +254,18 @@ def test_contamination_of_repeated_rows(spark, monkeypatch, bits):
     assert kept == [(5, "clean")]
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 12, 1 << 20])
+def test_bit_maps(spark, bits):
+    rng = random.Random(bits)
+    keys = [rng.getrandbits(64) for _ in range(500)] + [0, 2**64 - 1, 2**63]
+    rows = spark.createDataFrame([(k - (k >> 63 << 64),) for k in keys * 2], "key bigint")
+    got = shared.bit_map(rows, bits)
+    assert len(got) == bits // 64 and sum(int(x).bit_count() for x in got) == len({k % bits for k in keys})
+    asked = np.array(keys + [rng.getrandbits(64) for _ in range(500)], dtype=np.uint64)
+    assert shared.in_bits(got, asked).tolist() == [int(k) % bits in {x % bits for x in keys} for k in asked]
+    assert not shared.bit_map(rows.limit(0), bits).any()
+
+
 def test_contamination_edges(spark):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.contamination(spark.createDataFrame([], DOCS), bench).collect() == []

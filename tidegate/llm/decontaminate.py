@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ALNUM, Words, byte_rows, chunks, doc_columns, gram_hashes, mapped, signed, stored
+from .shared import ALNUM, Words, bit_map, byte_rows, chunks, doc_columns, gram_hashes, in_bits, mapped, signed, stored
 
 WINDOW = 10
 GRAM = 5
@@ -72,10 +72,6 @@ _HIT = pa.struct([("key", pa.int64()), ("size", pa.int32()), ("starts", pa.list_
 
 
 def _doc_hits(bits, short: list[int]):
-    def known(keys: np.ndarray) -> np.ndarray:
-        at = keys % np.uint64(64 * len(bits.value))
-        return bits.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) > 0
-
     def each(batch: pa.RecordBatch):
         rows = byte_rows(batch.column(2))
         for lo, hi in chunks(rows):
@@ -83,7 +79,7 @@ def _doc_hits(bits, short: list[int]):
             first = words.first
             hits: list[list[dict]] = [[] for _ in range(hi - lo)]
             keys, at = _long_places(words)
-            seen = known(keys)
+            seen = in_bits(bits.value, keys)
             if seen.any():
                 windows = gram_hashes(words.hashes, WINDOW)
                 for key, p in zip(signed(keys[seen]).tolist(), at[seen].tolist(), strict=True):
@@ -92,7 +88,7 @@ def _doc_hits(bits, short: list[int]):
                     hits[r].append({"key": key, "size": WINDOW, "starts": list(range(a - int(first[r]), b + 1 - int(first[r]))), "windows": signed(windows[a : b + 1])})
             for n in short:
                 grams = gram_hashes(words.hashes, n)
-                at = np.flatnonzero(known(grams))
+                at = np.flatnonzero(in_bits(bits.value, grams))
                 row = np.searchsorted(first, at, "right") - 1
                 inside = at + n <= first[row + 1]
                 at, row = at[inside], row[inside]
@@ -127,16 +123,6 @@ def _spans(batch: pa.RecordBatch):
     yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, type=pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["hit_id", "hit_at", "spans"])
 
 
-def _bit_map(keys: DataFrame) -> np.ndarray:
-    """A bit for each key, modulo BITS; keys are taken as unsigned. At most BITS / 64 rows reach the driver."""
-    bit = F.pmod("key", F.lit(BITS))  # BITS is a power of two, so the sign doesn't matter
-    one = keys.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(key, {BITS}) % 64 as int))").alias("one"))
-    found = one.groupBy("word").agg(F.bit_or("one").alias("ones")).toArrow()
-    bits = np.zeros(BITS // 64, dtype=np.uint64)
-    bits[found.column("word").to_numpy()] = found.column("ones").to_numpy().view(np.uint64)
-    return bits
-
-
 def _windows(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, at, n_words) of every document; (doc_id, at, start, size, window) of those with words in the benchmark's windows; the latter's (window, item_id)."""
     spark = documents.sparkSession
@@ -145,7 +131,7 @@ def _windows(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, Dat
     keys = items.select(F.explode("keys").alias("key")).distinct()
     windows = items.select(F.explode("windows").alias("window"), "item_id").distinct()
     short = sorted(r.size for r in items.select(F.col("size")).distinct().collect() if r.size < WINDOW)  # nine sizes at most
-    bits = spark.sparkContext.broadcast(_bit_map(keys))  # BITS / 8 bytes, whatever the input
+    bits = spark.sparkContext.broadcast(bit_map(keys, BITS))  # BITS / 8 bytes, whatever the input
 
     docs = doc_columns(documents, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("at"), "text")
     schema = "doc_id long, at long, n_words long, hits array<struct<key:long,size:int,starts:array<int>,windows:array<long>>>"

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,13 +53,37 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     Tables lie in a folder of their application, which goes when the program ends.
     """
     spark = df.sparkSession
+    small_batches(spark)
     folder = f"{shared_folder(spark)}/tidegate-{spark.sparkContext.applicationId}"
     if not _held:
         atexit.register(_remove_held)
     _held[folder] = spark
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _scratches:
+        _scratches[-1].append((path, out))
+    return out
+
+
+_scratches: list[list[tuple[str, DataFrame]]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables stored inside go at the end, but for those in the list that it gives: what is still to be read of an operator whose result is not."""
+    kept: list[DataFrame] = []
+    _scratches.append([])
+    try:
+        yield kept
+    finally:
+        for path, df in _scratches.pop():
+            if any(df is k for k in kept):
+                if _scratches:
+                    _scratches[-1].append((path, df))
+            else:
+                folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def doc_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -74,6 +101,43 @@ def name_columns(documents: DataFrame) -> list[Column]:
     return [F.coalesce(documents["doc_id"], F.lit(_UNNAMED) + F.shiftrightunsigned(F.xxhash64(text), 2)).alias("doc"), F.hash(text).alias("version")]
 
 
+# --------------------------------------------------------------------------
+# A filter of bounded size
+# --------------------------------------------------------------------------
+
+
+#: Parts of a bit map, each of which one task makes.
+MAP_PARTS = 64
+
+
+def bit_map(keys: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each `key` (64 bits), modulo `bits`, a power of two: a Bloom filter of one hash. What reaches the driver is the map, bits / 8 bytes at most."""
+    span = max(64, bits // MAP_PARTS)
+
+    def made(batches):
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            for part in np.unique(at // span).tolist():
+                own = (at[at // span == part] - part * span).astype(np.uint64)
+                held = parts.setdefault(part, np.zeros(span // 64, dtype=np.uint64))
+                np.bitwise_or.at(held, (own >> np.uint64(6)).astype(np.int64), np.uint64(1) << (own & np.uint64(63)))
+        yield pa.record_batch([pa.array(list(parts), type=pa.int32()), pa.array([zstandard.compress(m.tobytes(), 1) for m in parts.values()], type=pa.binary())], names=["part", "packed"])
+
+    # Distinct bits, so that no key's copies meet in one task; there are never more of them than bits.
+    at = keys.select(F.pmod("key", F.lit(bits)).alias("at")).distinct()
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    for r in at.repartition(MAP_PARTS, F.floor(F.col("at") / span)).mapInArrow(made, "part int, packed binary").collect():
+        out[r.part * span // 64 : (r.part + 1) * span // 64] = np.frombuffer(zstandard.decompress(r.packed), dtype=np.uint64)
+    return out
+
+
+def in_bits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be in the map; those that are not, are not."""
+    at = keys % np.uint64(64 * len(bits))
+    return bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) > 0
+
+
 # --------------------------------------------------------------------------
 # Text as bytes
 # --------------------------------------------------------------------------
@@ -100,6 +164,24 @@ def chunks(rows: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         yield start, len(rows)
 
 
+#: Bytes of rows that reach a Python worker at a time, about: texts may be long, and workers share the executor's memory.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow's batches by bytes, where the session has Spark's own value."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if re.fullmatch(rf"{64 << 20}b?", spark.conf.get(key, "1")):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def trimmed() -> None:
+    """Give back what allocators hold for a worker's next task: idle workers share the executor's memory with others."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mapped(df: DataFrame, names: list[str], schema: str, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> DataFrame:
     """mapInArrow over the named columns, batch by batch."""
 
@@ -107,7 +189,9 @@ def mapped(df: DataFrame, names: list[str], schema: str, each: Callable[[pa.Reco
         for batch in batches:
             if batch.num_rows:
                 yield from each(batch)
+        trimmed()
 
+    small_batches(df.sparkSession)
     return doc_columns(df, *names).mapInArrow(run, schema)
 
 

@@ -20,12 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import byte_rows, chunks, doc_columns, mapped, name_columns
+from .shared import bit_map, byte_rows, chunks, doc_columns, in_bits, mapped, name_columns, stored
 
 REACH = 24
 LONGEST = 4096
 #: Bytes that neighbouring copies must have together to be cut out, unless they are a whole text.
 RUN = 64
+#: Bits of the map of repeated digests. One that is full costs time and changes no result.
+BITS = 1 << 26
 
 _GEAR = np.random.default_rng(11).integers(1, 2**16, 256, dtype=np.uint16)
 _GEAR[0] = 0
@@ -84,7 +86,8 @@ def _split(row: bytes, marks: list[int]) -> list[int]:
     return out
 
 
-def _marked(batch: pa.RecordBatch):
+def _marked(batch: pa.RecordBatch, bits=None):
+    """The chunks of documents (doc, version, text); with a bit map, those whose digests it may hold."""
     digest = xxhash.xxh3_128_digest
     docs, versions, rows = batch.column(0), batch.column(1), byte_rows(batch.column(2))
     for lo, hi in chunks(rows):
@@ -101,10 +104,11 @@ def _marked(batch: pa.RecordBatch):
                 owner.append(i)
         both = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
         of = pa.array(np.array(owner, dtype=np.int64) + lo)
-        yield pa.record_batch(
+        out = pa.record_batch(
             [docs.take(of), versions.take(of), pa.array(ats, type=pa.int32()), pa.array(sizes, type=pa.int32()), pa.array(agains, type=pa.bool_()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())],
             names=["doc", "version", "at", "size", "again", "a", "b"],
         )
+        yield out if bits is None else out.filter(pa.array(in_bits(bits.value, both[:, 0].view(np.uint64))))
 
 
 def joined_runs(copies: list[tuple[int, int]], least: int, whole: int) -> list[tuple[int, int]]:
@@ -143,8 +147,13 @@ def _cut_out(run: int):
 def _copies(documents: DataFrame) -> DataFrame:
     """copy_doc, copy_version, copy_at, copy_size: the places of the copies to cut out of each document that has any."""
     named = documents.select(*name_columns(documents), documents["text"])
-    marks = mapped(named, ["doc", "version", "text"], "doc long, version int, at int, size int, again boolean, a long, b long", _marked)
-    shared = marks.groupBy("a", "b").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"), F.max("again").alias("repeated")).filter("repeated OR first_doc < last_doc").select("a", "b", "first_doc")
+    names, kind = ["doc", "version", "text"], "doc long, version int, at int, size int, again boolean, a long, b long"
+    marks = mapped(named, names, kind, _marked)
+    repeated = marks.groupBy("a", "b").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"), F.max("again").alias("repeated")).filter("repeated OR first_doc < last_doc")
+    shared = stored(repeated.select("a", "b", "first_doc"), "shared")
+    # Most chunks stand once; the map keeps them out of the join, as far as its size reaches.
+    bits = documents.sparkSession.sparkContext.broadcast(bit_map(shared.select(F.col("a").alias("key")), BITS))  # BITS / 8 bytes, whatever the input
+    marks = mapped(named, names, kind, lambda batch: _marked(batch, bits))
     copies = marks.join(shared, ["a", "b"]).filter("again OR doc <> first_doc")
     return copies.groupBy("doc", "version").agg(F.collect_list("at").alias("copy_at"), F.collect_list("size").alias("copy_size")).withColumnsRenamed({"doc": "copy_doc", "version": "copy_version"})
 
