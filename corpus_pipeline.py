@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.llm import bpe, decontaminate, language_id, near_dup, substring_dedup
-from tidegate.llm.shared import stored
+from tidegate.llm.shared import scratch, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -32,18 +32,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     are in a class as others are. Texts without words have no class: of those, rows that
     repeat a doc_id go, and rows without one stay.
     """
-    rows = stored(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
-    found = near_dup.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), percent=NEAR)
-    has_words = F.col("n_shingles") > 0
-    of = found.select(F.col("doc_id").alias("row"), has_words.alias("has_words"), F.when(has_words, F.col("component_id")).alias("class"))
-    named = rows.select("row", "doc_id").join(of, "row")
-    # What is one document: a class, or else a doc_id, or else a row.
-    wordless = F.when(~F.col("has_words"), F.col("doc_id"))
-    alone = F.when(~F.col("has_words") & F.col("doc_id").isNull(), F.col("row"))
-    named = stored(named.select("row", "doc_id", "class", wordless.alias("wordless"), alone.alias("alone")), "named")
-    first = F.min_by("row", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("row")
-    kept = named.groupBy("class", "wordless", "alone").agg(first).select("row")
-    gone = named.select("row").join(kept, "row", "left_anti")
+    with scratch(spark) as kept_tables:
+        rows = stored(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+        found = near_dup.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), percent=NEAR)
+        has_words = F.col("n_shingles") > 0
+        of = found.select(F.col("doc_id").alias("row"), has_words.alias("has_words"), F.when(has_words, F.col("component_id")).alias("class"))
+        named = rows.select("row", "doc_id").join(of, "row")
+        # What is one document: a class, or else a doc_id, or else a row.
+        wordless = F.when(~F.col("has_words"), F.col("doc_id"))
+        alone = F.when(~F.col("has_words") & F.col("doc_id").isNull(), F.col("row"))
+        named = stored(named.select("row", "doc_id", "class", wordless.alias("wordless"), alone.alias("alone")), "named")
+        first = F.min_by("row", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("row")
+        kept = named.groupBy("class", "wordless", "alone").agg(first).select("row")
+        gone = stored(named.select("row").join(kept, "row", "left_anti"), "gone")
+        kept_tables += [rows, gone]
     return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
@@ -79,5 +81,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as kept:
+            docs = stored(stage(spark, docs, sf_dir), name)
+            kept.append(docs)
     return docs

@@ -41,3 +41,54 @@ def test_repeated_and_null_ids(spark):
 def test_rows_by_brute_force_at_80(spark, monkeypatch):
     monkeypatch.setattr(test_pipeline, "classes", partial(classes, percent=80))
     test_pipeline.test_rows_by_brute_force(spark)
+
+
+PASSAGE = " ".join(words("p", 60))
+ROWS = [
+    (1, "The house of the river and the stone stands in the valley. " + PASSAGE, "en", "a", 0),
+    (2, "The house of the river and the stone stands in the valley. " + PASSAGE, "en", "a", 0),
+    (2, "Something else that shares the id: the day and the night and the evening, " + PASSAGE + " and so on", None, "a", 0),
+    (2, "Something else that shares the id: the day and the night and the evening, " + PASSAGE + " and so on", None, "a", 0),
+    (None, "A row of no name at all, the morning of the second day of the week", None, None, 0),
+    (None, "A row of no name at all, the morning of the second day of the week", None, None, 0),
+    (None, None, None, None, None),
+    (3, "", "en", "a", 0),
+    (4, None, "en", None, 0),
+    (5, "12 34 !!", "en", "a", 0),
+    (6, "x" * 60_000, "en", "a", 0),
+    (7, "é ü " * 9_000, "de", "a", 0),
+]
+
+
+def stage(spark, name, rows, extra=False):
+    docs = spark.createDataFrame(rows, SCHEMA)
+    if extra:
+        docs = docs.selectExpr("*", "1 AS row", "2 AS class", "3 AS at", "4 AS spans", "5 AS hits", "6 AS copy_doc")
+    return dict(pipeline.STAGES)[name](spark, docs, "/root/testdata/sf0.001")
+
+
+@pytest.mark.parametrize("name", [n for n, _ in pipeline.STAGES])
+def test_every_stage_on_odd_rows(spark, name):
+    """Nulls anywhere, empty and very long texts, repeated rows, ids that are shared, clashing columns, no rows."""
+    empty = stage(spark, name, [])
+    assert empty.collect() == []
+    out = stage(spark, name, ROWS, extra=True)
+    rows = out.collect()
+    assert out.dtypes == empty.dtypes
+    last = name == "tokens"
+    if not last:
+        assert out.columns == pipeline.COLUMNS
+    ids = sorted((r.doc_id for r in rows), key=lambda i: (i is None, i))
+    if name == "language":
+        texts = [r.text for r in rows]
+        assert not {None, "", "12 34 !!"} & set(texts) and texts.count(ROWS[4][1]) in (0, 2) and all(r.lang for r in rows if r.text in (ROWS[2][1], ROWS[4][1]))
+    elif name == "near_duplicates":
+        assert [(r.doc_id, r.text) for r in rows if r.text and PASSAGE in r.text and r.text.startswith("The")] == [(1, ROWS[0][1])]
+        assert sum(r.text == ROWS[4][1] for r in rows) == 1 and sum(r.text == ROWS[2][1] for r in rows) == 1
+        assert ids == [1, 2, 3, 4, 6, 7, None, None] or ids == [1, 2, 3, 4, 5, 6, 7, None, None]
+    elif name == "substrings":
+        assert len(rows) == len(ROWS) and {r.n_chars for r in rows if r.doc_id == 1} == {len(ROWS[0][1])}
+        assert {r.text for r in rows if r.doc_id == 2 and r.lang == "en"} == {""} and {r.text for r in rows if r.doc_id == 4} == {None}
+        assert len({r.text for r in rows if r.doc_id == 2 and r.lang is None}) == 1
+    else:
+        assert len(rows) == len(ROWS)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import SPACED, Words, byte_rows, chunks, doc_columns, gram_hashes, mapped, mix, signed, stored
+from .shared import SPACED, Words, byte_rows, chunks, doc_columns, gram_hashes, mapped, mix, scratch, signed, stored
 
 SHINGLE = 5
 SAMPLES = 128
@@ -309,19 +309,8 @@ def _relabelled(classes: DataFrame, links: DataFrame) -> DataFrame:
     return stored(classes.join(joined, "component", "left").select("node", F.coalesce("low", "component").alias("component")), "classes")
 
 
-def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of `documents` (doc_id, text).
-
-    Two documents are linked if 100 * |A and B| >= percent * |A or B| for their shingle
-    sets. Null and empty texts have no set and no links. Every row is a document of its
-    own: rows may repeat, and rows that share a doc_id may have different texts, each with
-    its own links. A row without doc_id links as others do; the component is the
-    smallest doc_id of a class, or null if no row of it has one. Other columns are ignored.
-    An empty table gives no rows. `percent` may be 80 to 100; below, the bands would miss
-    links.
-    """
-    if not 80 <= percent <= 100:
-        raise ValueError("percent must be 80 to 100")
+def _classed(documents: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The marks of all rows, the representatives of equal sets, and the classes (node, component) of those that share a band."""
     docs = doc_columns(documents, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("at"), "text")
     marks = stored(mapped(docs, ["doc_id", "at", "text"], "doc_id long, at long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary, parity binary", _signatures), "marks")
     grouped = marks.filter("n_shingles > 0").groupBy("set_a", "set_b")
@@ -367,7 +356,25 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
         again = shared.select("band", "rep").join(classes.toDF("rep", "component"), "rep").join(more, "rep", "left").withColumn("moves", F.coalesce("moves", F.lit(False)))
         pairs = _left_over(again, reps, percent, tries)
         classes = _relabelled(classes, _confirmed(pairs, sets, percent))
+    return marks, reps, classes
+
 
+def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of `documents` (doc_id, text).
+
+    Two documents are linked if 100 * |A and B| >= percent * |A or B| for their shingle
+    sets. Null and empty texts have no set and no links. Every row is a document of its
+    own: rows may repeat, and rows that share a doc_id may have different texts, each with
+    its own links. A row without doc_id links as others do; the component is the
+    smallest doc_id of a class, or null if no row of it has one. Other columns are ignored.
+    An empty table gives no rows. `percent` may be 80 to 100; below, the bands would miss
+    links.
+    """
+    if not 80 <= percent <= 100:
+        raise ValueError("percent must be 80 to 100")
+    with scratch(documents.sparkSession) as kept:
+        marks, reps, classes = _classed(documents, percent)
+        kept += [marks, reps, classes]
     named = reps.join(classes.toDF("rep", "component"), "rep", "left").select("doc_id", "set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_set = named.drop("doc_id").join(smallest, "component").drop("component")
