@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BASE, BASE_INVERSE, BYTE_VALUES, _power_table, byte_rows, doc_columns, mapped, mix, name_columns, signed, stored
+from .shared import BASE, BASE_INVERSE, BYTE_VALUES, _power_table, byte_rows, doc_columns, mapped, mix, name_columns, scratch, signed, stored
 
 LENGTH = 400
 #: Lengths of the strings whose hashes are keys: the first for all texts, each further one for keys with more than BLOCK different segments.
@@ -175,7 +175,7 @@ def _smallest(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 class _Occurrences:
     """Counts of each symbol up to each block of a transform, and from them ranks and the nearest equal symbols of some places."""
 
-    SHIFT = 7
+    SHIFT = 8
 
     def __init__(self, symbols: np.ndarray, alphabet: int, offsets: np.ndarray):
         n, width = len(symbols), 1 << self.SHIFT
@@ -394,8 +394,8 @@ def _ranges(segs: DataFrame, data: Callable[[DataFrame], DataFrame], level: int
     return out.union(shorter.drop("data", "n").join(stored(below, "below"), ["key", "digest"]).select(F.col("of_key").alias("key"), F.col("of_digest").alias("digest"), (offset + F.col("from")).alias("from"), (offset + F.col("to")).alias("to")))
 
 
-def _spans(docs: DataFrame) -> DataFrame:
-    """doc, version, from, to: lists of ranges of repeated bytes, for documents (doc, version, text) that have any."""
+def _repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The segments of documents (doc, version, text) whose keys occur again, and the repeated ranges of different ones."""
     marks = stored(mapped(docs, ["doc", "version", "text"], "key long, digest long, doc long, version int, start int, size int, twice boolean", _marks), "marks")
     keys = stored(marks.groupBy("key").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).filter("n > 1 OR twice").select("key"), "keys")
     held = stored(marks.join(keys, "key", "left_semi"), "segments")
@@ -408,7 +408,14 @@ def _spans(docs: DataFrame) -> DataFrame:
         sliced = mapped(docs.join(wanted, ["doc", "version"]), ["text", "key", "digest", "start", "size"], "key long, digest long, data binary", _sliced)
         return stored(some.join(sliced.groupBy("key", "digest").agg(F.first("data").alias("data")), ["key", "digest"]), "data")
 
-    ranges = stored(_ranges(different.select("key", "digest", "n", "size", "twice"), data), "ranges")
+    return held, stored(_ranges(different.select("key", "digest", "n", "size", "twice"), data), "ranges")
+
+
+def _spans(docs: DataFrame) -> DataFrame:
+    """doc, version, from, to: lists of ranges of repeated bytes, for documents (doc, version, text) that have any."""
+    with scratch(docs.sparkSession) as kept:
+        held, ranges = _repeated(docs)
+        kept += [held, ranges]
     spans = held.select("key", "digest", "doc", "version", "start").join(ranges, ["key", "digest"]).select("doc", "version", (F.col("start") + F.col("from")).alias("from"), (F.col("start") + F.col("to")).alias("to")).distinct()
     return spans.groupBy("doc", "version").agg(F.collect_list("from").alias("from"), F.collect_list("to").alias("to"))
 
