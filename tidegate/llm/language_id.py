@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import byte_rows, chunks, doc_columns, mapped, stored
+from .shared import byte_rows, chunks, doc_columns, mapped, stored, trimmed
 
 UNKNOWN = "und"
 #: Texts of each language that the model learns from, at most.
@@ -167,8 +167,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     Equal texts are one, of the language that comes first.
     """
     known = doc_columns(labelled, "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL AND lang <> ''").withColumn("at", F.xxhash64("text"))
-    own = Window.partitionBy("lang").orderBy("at")
-    chosen = known.groupBy("at").agg(F.min("lang").alias("lang")).withColumn("n", F.row_number().over(own)).filter(F.col("n") <= sample).select("at", F.col("lang").alias("chosen"))
+    chosen = known.groupBy("at").agg(F.min("lang").alias("lang"))
+    # First within parts of a language, so that no task sees all texts of a frequent one.
+    for own in (Window.partitionBy("lang", F.pmod("at", F.lit(64))), Window.partitionBy("lang")):
+        chosen = chosen.withColumn("n", F.row_number().over(own.orderBy("at"))).filter(F.col("n") <= sample).select("at", "lang")
+    chosen = chosen.select("at", F.col("lang").alias("chosen"))
     texts = known.join(stored(chosen, "chosen"), "at").groupBy("at").agg(F.first("chosen").alias("lang"), F.min("text").alias("text"))
     picked = mapped(texts, ["at", "lang", "text"], "at long, lang string, features binary", _counted).orderBy("at").collect()
     rows = [np.frombuffer(zstandard.decompress(r.features), dtype=np.float32) for r in picked]
@@ -228,6 +231,7 @@ def recognised(documents: DataFrame, model: Model, least: float | None = None) -
                 lang = batch.column(own)
                 filled = pc.if_else(lang.is_null(), marked.column(1).cast(lang.type), lang)
                 yield batch.set_column(own, batch.schema.field(own), filled).filter(pc.invert(marked.column(3)))
+        trimmed()
 
     return documents.mapInArrow(run, documents.schema)
 
