@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import SPACED, Words, byte_rows, chunks, doc_columns, gram_hashes, mapped, mix, scratch, signed, stored
+from .shared import SPACED, Words, byte_rows, chunks, doc_columns, gram_hashes, mapped, mix, scratch, signed, stored, trimmed
 
 SHINGLE = 5
 SAMPLES = 128
@@ -270,6 +270,7 @@ def _block_pairs(percent: int, tries: str):
             yield whole.pairs(percent, tries)
         if held is not None:
             yield held.pairs(percent, tries)
+        trimmed()
 
     return run
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bit_map, byte_rows, chunks, doc_columns, in_bits, mapped, name_columns, stored
+from .shared import bit_map, byte_rows, chunks, doc_columns, in_bits, mapped, name_columns, stored, trimmed
 
 REACH = 24
 LONGEST = 4096
@@ -191,5 +191,6 @@ def with_cut_texts(documents: DataFrame, run: int = RUN) -> DataFrame:
                 n = len(names)
                 (done,) = each(pa.record_batch([batch.column(names.index("doc_id")), batch.column(at), batch.column(n), batch.column(n + 1)], names=["doc_id", "text", "at", "size"]))
                 yield pa.record_batch([done.column(5) if i == at else batch.column(i) for i in range(n)], names=names)
+        trimmed()
 
     return wide.mapInArrow(cut, documents.schema)
