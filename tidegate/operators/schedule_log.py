@@ -99,7 +99,7 @@ RANGE = 1 << 20
 
 
 def _entries(log: DataFrame, span: int) -> DataFrame:
-    """By (partition, source offset): its first ADD and whether that inserts, its newest due time and flag, its ADDs, and where it was completed last.
+    """By (partition, source offset): where it was inserted, its newest due time and flag, its ADDs, where it was completed last, and whether it is its partition's largest.
 
     An ADD inserts if no larger source offset was added before it, so only the first of a
     source offset can, and it does if it stands before the first ADD of every larger
@@ -121,7 +121,7 @@ def _entries(log: DataFrame, span: int) -> DataFrame:
     larger = Window.partitionBy("source_partition", "_range").orderBy(F.col("source_offset").desc()).rowsBetween(Window.unboundedPreceding, -1)
     wide = by_key.join(ranges, ["source_partition", "_range"]).withColumn("_earliest", F.least(F.min("first_add").over(larger), "_beyond"))
     inserts = F.col("first_add").isNotNull() & (F.col("_earliest").isNull() | (F.col("first_add") < F.col("_earliest")))
-    return wide.select("source_partition", "source_offset", F.when(inserts, F.col("first_add")).alias("log_offset"), "dispatch_at_ms", "clamped", "done_at", "adds")
+    return wide.select("source_partition", "source_offset", F.when(inserts, F.col("first_add")).alias("log_offset"), "dispatch_at_ms", "clamped", "done_at", "adds", (F.col("_earliest").isNull() & (F.col("adds") > 0)).alias("is_largest"))
 
 
 _PENDING = "log_offset IS NOT NULL AND (done_at IS NULL OR done_at < log_offset)"
@@ -138,7 +138,7 @@ def folded(log: DataFrame, span: int = RANGE) -> DataFrame:
     One aggregate by (partition, source offset) and windows over ranges of its rows; see
     `_entries`.
     """
-    return _entries(log, span).filter(_PENDING).drop("done_at", "adds")
+    return _entries(log, span).filter(_PENDING).drop("done_at", "adds", "is_largest")
 
 
 def anomalies(log: DataFrame, span: int = RANGE) -> DataFrame:
@@ -157,7 +157,5 @@ def compacted(log: DataFrame, span: int = RANGE) -> DataFrame:
     later ADDs at or below it must still be ignored. The fold's aggregate names what stays;
     a semi join keeps it.
     """
-    entries = _entries(log, span)
-    tops = entries.filter("adds > 0").groupBy("source_partition").agg(F.max("source_offset").alias("source_offset"))
-    stays = entries.filter(_PENDING).select("source_partition", "source_offset").union(tops)
+    stays = _entries(log, span).filter(f"is_largest OR ({_PENDING})").select("source_partition", "source_offset")
     return log.join(stays, ["source_partition", "source_offset"], "left_semi").select(*log.columns)
