@@ -29,7 +29,7 @@ def test_rows_by_brute_force(spark):
     scores = model.scores([t.encode() for _, t, _ in docs]).max(axis=1)
     kept = [(i, t) for (i, t, _), s in zip(docs, scores, strict=True) if s >= model.threshold and language_id.has_letter(t)]
 
-    of = classes(kept)
+    of = classes(kept, percent=pipeline.NEAR)
     kept = [(i, t.encode()) for i, t in kept if of[i][1] == i]
     texts = cut(kept, substring_dedup.RUN)
     texts = {i: t for i, t in texts.items() if not contamination(t, items)[1]}
