@@ -97,6 +97,25 @@ def test_top_k_edges(spark):
     assert out == [(0, 1, 1, 64 * 64 + 128 * 64)]
 
 
+@pytest.mark.parametrize("values", [1 << 20, 3000])
+def test_top_k_of_long_vectors_keeps_the_driver_small(spark, monkeypatch, values):
+    monkeypatch.setattr(top_k, "VALUES", values)
+    rng = np.random.default_rng(3)
+    strong = rng.normal(size=(4, 900))
+    rows = [(i, (rng.normal(size=4) @ strong + 0.1 * rng.normal(size=900)).astype(np.float32).tolist()) for i in range(60)]
+    rows += [(100 + i, rng.normal(size=1 + i % 40).astype(np.float32).tolist()) for i in range(120)]
+    df = spark.createDataFrame(rows, VECTORS)
+    vectors = top_k.mapped(df, ["vec_id", "embedding"], "vec_id long, dim int, norm double, vector binary", top_k._integers)
+    turns = top_k.rotation(vectors)
+    assert len(turns) <= top_k.TURNED and turns[900].shape == (900, top_k.HEAD)
+    assert np.allclose(turns[900].T @ turns[900], np.eye(top_k.HEAD))
+    long = np.array([v for _, v in rows[:60]])
+    assert ((long @ turns[900]) ** 2).sum() > 0.9 * (long**2).sum()
+    blocks = top_k._blocks(vectors, top_k.BLOCK).collect()
+    assert max(len(b.ids) // 8 * b.dim for b in blocks if len(b.ids) > 8) <= 2 * values
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in top_k.top_k(df).collect()) == by_hand(rows)
+
+
 @pytest.mark.parametrize("blocks", [(4096, 1024), (3, 2)])
 def test_top_k_of_repeated_rows_and_ties(spark, monkeypatch, blocks):
     monkeypatch.setattr(top_k, "BLOCK", blocks[0])

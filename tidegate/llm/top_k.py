@@ -1,8 +1,10 @@
 """Exact top-k inner products: norm-sorted vectors, SVD-rotated partial sums, Cauchy-Schwarz bounds.
 
-Vectors are made integer, floor(64 * x). The right singular vectors of all of them (from
-their Gram matrix, summed in the cluster) rotate them, so that the first dimensions carry
-most of the length. Candidates are dealt by length, longest first, into blocks of a
+Vectors are made integer, floor(64 * x). Their strongest right singular vectors (from their
+Gram matrix, summed in the cluster; for long vectors from its products with a few random
+ones) rotate them, so that the first dimensions carry most of the length; what is left of a
+vector is what these directions don't hold. So the driver has a few directions for a few
+lengths of vectors, however long and many they are. Candidates are dealt by length, longest first, into blocks of a
 bounded number of rows, and queries into blocks likewise. A first round runs each query
 block against the block of the longest candidates, which gives each query a floor: its
 k-th result so far. The second round meets only the pairs of blocks in which the longest
@@ -22,12 +24,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import doc_columns, mapped, stored
+from .shared import doc_columns, mapped, small_batches, stored
 
 SCALE = 64
 BLOCK = 4096
 QUERY_BLOCK = 1024
 HEAD = 16
+#: Numbers that the vectors of a block have together at most: long vectors make blocks of fewer rows.
+VALUES = 1 << 20
+#: Vectors up to this length have their whole Gram matrix summed, longer ones its products with so many random vectors.
+WHOLE = 256
+SKETCH = 24
+#: Lengths of vectors that are rotated, those with most rows, and the longest of them. Others stay as they are: any rotation is exact.
+TURNED = 8
+LONG = 8192
 
 
 def whole_vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -55,28 +65,39 @@ def _stack(values: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(values), dtype=np.float64).reshape(len(values), -1)
 
 
-def _grams(batches):
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        dims = batch.column(0).to_numpy()
-        for dim in np.unique(dims).tolist():
-            x = _stack(batch.filter(pa.array(dims == dim)).column(1).to_pylist())
-            peak = np.abs(x).max(initial=1.0)
-            sums[dim] = sums.get(dim, 0) + (x / peak).T @ (x / peak)
-    yield pa.record_batch([pa.array(list(sums), type=pa.int32()), pa.array([list(m.ravel()) for m in sums.values()], type=pa.list_(pa.float64()))], names=["dim", "gram"])
+def _probes(dim: int) -> np.ndarray:
+    """What the Gram matrix is multiplied by."""
+    return np.eye(dim) if dim <= WHOLE else np.random.default_rng(dim).standard_normal((dim, SKETCH))
+
+
+def _grams(lengths: list[int]):
+    def each(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            dims = batch.column(0).to_numpy()
+            for dim in np.intersect1d(dims, lengths).tolist():
+                x = _stack(batch.filter(pa.array(dims == dim)).column(1).to_pylist())
+                x = x / np.abs(x).max(initial=1.0)
+                sums[dim] = sums.get(dim, 0) + x.T @ (x @ _probes(dim))
+        yield pa.record_batch([pa.array(list(sums), type=pa.int32()), pa.array([m.tobytes() for m in sums.values()], type=pa.binary())], names=["dim", "gram"])
+
+    return each
 
 
 def _summed(table: pa.Table) -> pa.Table:
-    total = np.sum([np.asarray(g) for g in table.column("gram").to_pylist()], axis=0)
-    return pa.table({"dim": table.column("dim").slice(0, 1), "gram": pa.array([total.tolist()], type=pa.list_(pa.float64()))})
+    total = sum(np.frombuffer(g) for g in table.column("gram").to_pylist())
+    return pa.table({"dim": table.column("dim").slice(0, 1), "gram": pa.array([total.tobytes()], type=pa.binary())})
 
 
 def rotation(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """For each length of vectors, the rotation onto their right singular vectors, strongest first. Any rotation is exact; this one prunes best."""
-    kind = "dim int, gram array<double>"
-    each = doc_columns(vectors, "dim", "vector").filter("dim > 0").mapInArrow(_grams, kind).withColumn("slot", F.spark_partition_id() % 32)
+    """For the TURNED most frequent lengths of vectors, the HEAD strongest of their right singular vectors, as columns. Any directions are exact; these prune best."""
+    small_batches(vectors.sparkSession)
+    held = doc_columns(vectors, "dim", "vector").filter(f"dim > 0 AND dim <= {LONG}")
+    lengths = [r.dim for r in held.groupBy("dim").count().orderBy(F.col("count").desc(), "dim").limit(TURNED).collect()]
+    kind = "dim int, gram binary"
+    each = held.filter(F.col("dim").isin(lengths)).mapInArrow(_grams(lengths), kind).withColumn("slot", F.spark_partition_id() % 32)
     whole = each.groupBy("dim", "slot").applyInArrow(_summed, kind).groupBy("dim").applyInArrow(_summed, kind)
-    return {r.dim: np.linalg.eigh(np.array(r.gram).reshape(r.dim, r.dim))[1][:, ::-1].copy() for r in whole.toLocalIterator()}  # a matrix for each length
+    return {r.dim: np.linalg.svd(np.frombuffer(r.gram).reshape(r.dim, -1), full_matrices=False)[0][:, :HEAD].copy() for r in whole.collect()}  # LONG * SKETCH numbers for each of TURNED lengths
 
 
 def _shrunk(x: np.ndarray) -> bytes:
@@ -99,33 +120,32 @@ def _pack(table: pa.Table) -> pa.Table:
 
 
 def _blocks(vectors: DataFrame, size: int) -> DataFrame:
-    """Rows (dim, block, longest, ids, vectors), blocks of about `size` rows by descending norm."""
-    total = {r.dim: r.n for r in vectors.groupBy("dim").agg(F.count("*").alias("n")).toLocalIterator()}
-    if not total:
+    """Rows (dim, block, longest, ids, vectors), blocks of about `size` rows, and VALUES numbers, by descending norm."""
+    rows = F.greatest(F.lit(1), F.least(F.lit(size), F.floor(VALUES / F.greatest("dim", F.lit(1)))))
+    n = vectors.groupBy("dim").agg(F.count("*").alias("n")).agg(F.max(F.ceil(F.col("n") / rows))).first()[0]
+    if not n:
         return vectors.sparkSession.createDataFrame([], "dim int, block int, longest double, ids binary, vectors binary")
-    n = max(1, -(-max(total.values()) // size))
     ranged = vectors.repartitionByRange(n, F.col("dim"), F.col("norm").desc(), F.col("vec_id"))
     ranged = stored(ranged.withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}), "ranged")
     # A range may hold more than a block; it is cut row by row, so that a very frequent vector is spread too.
-    held = ranged.groupBy("dim", "part").agg(F.count("*").alias("n")).select("dim", "part", F.ceil(F.col("n") / size).cast("int").alias("cut"))
+    held = ranged.groupBy("dim", "part").agg(F.count("*").alias("n")).select("dim", "part", F.ceil(F.col("n") / rows).cast("int").alias("cut"))
     cut = ranged.join(held, ["dim", "part"]).withColumn("block", F.hash("part", F.pmod("row", F.col("cut"))))
     return cut.groupBy("dim", "block").applyInArrow(_pack, "dim int, block int, longest double, ids binary, vectors binary")
 
 
 def best_in(query: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, floor_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, turn: np.ndarray, k: int):
-    """(query row, vec_id, score) of the k best of a block for each query, of those that come before the query's floor."""
-    head = min(HEAD, turn.shape[1])
+    """(query row, vec_id, score) of the k best of a block for each query, of those that come before the query's floor. The columns of `turn` are unit vectors at right angles."""
     q_norm, v_norm = np.sqrt((query**2).sum(axis=1)), np.sqrt((vectors**2).sum(axis=1))
     slack = 1e-9 * (q_norm * v_norm.max(initial=0.0)) + 1e-6
     rows = np.flatnonzero(q_norm * v_norm.max(initial=0.0) + slack >= floor)
     if not len(rows) or not len(ids):
         return
     q_turn, v_turn = query[rows] @ turn, vectors @ turn
-    q_rest, v_rest = (np.sqrt((x[:, head:] ** 2).sum(axis=1)) for x in (q_turn, v_turn))
+    q_rest, v_rest = (np.sqrt(((x - t @ turn.T) ** 2).sum(axis=1)) for x, t in ((query[rows], q_turn), (vectors, v_turn)))
     exact_doubles = q_norm.max() * v_norm.max() < 2**52
     for at in range(0, len(rows), 64):
         own = rows[at : at + 64]
-        bound = q_turn[at : at + 64, :head] @ v_turn[:, :head].T + np.outer(q_rest[at : at + 64], v_rest)
+        bound = q_turn[at : at + 64] @ v_turn.T + np.outer(q_rest[at : at + 64], v_rest)
         alive = bound + slack[own, None] >= floor[own, None]
         for j, r in enumerate(own.tolist()):
             c = np.flatnonzero(alive[j] & (ids != query_ids[r]))
@@ -153,7 +173,7 @@ def _scored(turns, k: int, seeded: bool):
             query, vectors = _widened(row["queries"], len(query_ids)), _widened(row["vectors"], len(ids))
             floor = np.frombuffer(row["floors"], dtype=np.float64) if seeded else np.full(len(query_ids), -np.inf)
             floor_ids = np.frombuffer(row["floor_ids"], dtype=np.int64) if seeded else np.zeros(len(query_ids), dtype=np.int64)
-            turn = turns.value.get(dim, np.eye(dim))
+            turn = turns.value[dim] if dim in turns.value else np.eye(dim, min(HEAD, dim))
             found = list(best_in(query, query_ids, floor, floor_ids, vectors, ids, turn, k))
             r = np.array([f[0] for f in found], dtype=np.int64)
             yield pa.record_batch([pa.array(query_ids[r]), pa.array([f[1] for f in found], type=pa.int64()), pa.array([f[2] for f in found], type=pa.int64())], names=["query_id", "vec_id", "score"])
@@ -187,7 +207,7 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     asking = F.min(F.struct("dim", "norm", "vector")).alias("v")
     queries = vectors.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(asking).select("vec_id", "v.dim", "v.norm", "v.vector")
     spark = vectors.sparkSession
-    turns = spark.sparkContext.broadcast(rotation(vectors))  # the square of the vectors' length
+    turns = spark.sparkContext.broadcast(rotation(vectors))  # HEAD * LONG numbers for each of TURNED lengths, at most
     against = stored(_blocks(vectors, BLOCK), "blocks")
     asked = stored(_blocks(queries, QUERY_BLOCK).withColumnsRenamed({"ids": "query_ids", "vectors": "queries", "longest": "q_longest"}), "queries")
 
