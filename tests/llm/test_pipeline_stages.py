@@ -92,3 +92,19 @@ def test_every_stage_on_odd_rows(spark, name):
         assert len({r.text for r in rows if r.doc_id == 2 and r.lang is None}) == 1
     else:
         assert len(rows) == len(ROWS)
+
+
+@pytest.mark.parametrize(("own", "want"), [(None, "256"), ("64", "64")])
+def test_every_stage_bounds_what_the_reader_holds(spark, own, want):
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    docs = spark.read.parquet(f"{test_pipeline.SF}/documents.parquet").limit(20)
+    before = spark.conf.get(key)
+    try:
+        for _, stage in pipeline.STAGES:
+            spark.conf.unset(key)
+            if own:
+                spark.conf.set(key, own)
+            stage(spark, docs, test_pipeline.SF)
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)
