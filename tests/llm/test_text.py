@@ -5,10 +5,12 @@ import hashlib
 import math
 import random
 import re
+import weakref
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -316,6 +318,21 @@ def test_round_trip_on_documents(spark, encoders):
     assert bpe.round_trip(docs.limit(0), PATH, PATTERN).collect() == []
 
 
+def test_vocabulary_leaves_workers_with_other_operators():
+    """A worker that encoded keeps the vocabulary for its next task, but not beside those of another operator."""
+    ranks = type("Held", (), {"value": bpe.read_ranks(PATH)})()
+    codec = bpe._codec(ranks, PATTERN)
+    assert bpe._codec(ranks, PATTERN) is codec
+    held = weakref.ref(codec.pieces)
+    del codec
+    other = pa.record_batch([pa.array([1]), pa.array(["some text"])], names=["doc_id", "text"])
+    runs = []
+    frame = type("Frame", (), {"sparkSession": type("S", (), {"conf": {}})(), "select": lambda self, *c: self, "__getitem__": lambda self, n: n, "mapInArrow": lambda self, run, schema: runs.append(run)})()
+    shared.mapped(frame, ["doc_id", "text"], "", lambda batch: iter([batch]))
+    assert list(runs[0](iter([other]))) == [other]
+    assert not bpe._codecs and held() is None
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p><p>no";</script><style>p{{}}</style></head><body>
 <header class="site">Our site</header><nav><a href="/">Home</a></nav><div class="cookie-notice">We use cookies</div><div id="left"><div>Same box</div></div>
 <div id="c"><h1>{title}</h1><p>First &amp; <b>bold<br>line {n}</p><p>Second&nbsp;para {n}<ul><li>item {n}<li>more {n}</ul><div>Same box</div></div>

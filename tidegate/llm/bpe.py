@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .shared import byte_rows, doc_columns
+from .shared import byte_rows, doc_columns, worker_tables
 
 #: Pieces whose encodings are remembered, and the longest piece that is.
 MEMORY = 400_000
@@ -289,10 +289,11 @@ class Codec:
 
 
 _codecs: dict[tuple, Codec] = {}
+worker_tables.append(_codecs.clear)
 
 
 def _codec(ranks, pattern: str) -> Codec:
-    """The codec of a broadcast vocabulary; a Python worker makes it once."""
+    """The codec of a broadcast vocabulary; a Python worker makes it once, and again after tasks of other operators."""
     key = (ranks._jid if hasattr(ranks, "_jid") else id(ranks), pattern)
     if key not in _codecs:
         _codecs.clear()
