@@ -131,6 +131,44 @@ def test_top_k_of_repeated_rows_and_ties(spark, monkeypatch, blocks):
     assert out == want
 
 
+def test_top_k_asks_for_few_ranges(spark, monkeypatch):
+    """Spark sends keys of each range to the driver, so their number must not grow with the rows."""
+    asked = []
+    ranged = type(spark.range(0)).repartitionByRange
+    monkeypatch.setattr(type(spark.range(0)), "repartitionByRange", lambda self, n, *columns: asked.append(n) or ranged(self, n, *columns))
+    monkeypatch.setattr(top_k, "RANGES", 3, raising=False)
+    monkeypatch.setattr(top_k, "BLOCK", 4)
+    monkeypatch.setattr(top_k, "QUERY_BLOCK", 2)
+    random.seed(11)
+    rows = [(i, [random.gauss(0, 1) for _ in range(3 if i % 4 else 2)]) for i in range(160)]
+    rows += [(1000 + i, rows[40][1]) for i in range(30)]
+    df = spark.createDataFrame(rows, VECTORS)
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in top_k.top_k(df).collect()) == by_hand(rows)
+    assert asked and max(asked) <= 3
+    vectors = top_k.mapped(df, ["vec_id", "embedding"], "vec_id long, dim int, norm double, vector binary", top_k._integers)
+    blocks = top_k._blocks(vectors, 4).collect()
+    assert all(len(b.ids) <= 4 * 8 for b in blocks) and len({b.block for b in blocks}) == len(blocks)
+    assert sorted(i for b in blocks for i in np.frombuffer(b.ids, dtype=np.int64).tolist()) == sorted(i for i, _ in rows)
+
+
+def test_top_k_broadcasts_no_copies_of_queries(spark):
+    """Each row of tasks has a copy of the queries; together they may be larger than the driver, however small the queries are."""
+    random.seed(13)
+    rows = [(i, [random.gauss(0, 1) for _ in range(4)]) for i in range(120)]
+    out = top_k.top_k(spark.createDataFrame(rows, VECTORS))
+    joins = [line for line in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line and "longest" in line]
+    assert len(joins) == 1 and "SortMergeJoin" in joins[0]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in out.collect()) == by_hand(rows)
+
+
+@pytest.mark.parametrize(("tasks", "queries", "candidates"), [(12, 1, 3), (600, 1, 5722), (600, 1145, 5722), (211, 3, 3), (4, 100, 100), (1, 5, 1)])
+def test_top_k_grid(tasks, queries, candidates):
+    down, across = top_k.grid(tasks, queries, candidates)
+    assert 1 <= across <= queries and 1 <= down <= candidates and down * across <= tasks + across
+    # No more copies than queries in every task make.
+    assert down * queries * top_k.QUERY_BLOCK + across * candidates * top_k.BLOCK <= tasks * queries * top_k.QUERY_BLOCK + candidates * top_k.BLOCK
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, None), (7, 7)]

@@ -9,7 +9,7 @@ bounded number of rows, and queries into blocks likewise. A first round runs eac
 block against the block of the longest candidates, which gives each query a floor: its
 k-th result so far. The second round meets only the pairs of blocks in which the longest
 query times the longest candidate reaches the lowest floor (the join's condition, on two
-numbers), and leaves out, in turn, queries whose floor exceeds |q| * |longest of the block|,
+numbers; its tasks are a grid of groups of blocks), and leaves out, in turn, queries whose floor exceeds |q| * |longest of the block|,
 and candidates whose partial sum over the first dimensions plus the product of what is left
 of both lengths stays below the floor. What remains is scored exactly, and only results
 that come before the floor, by score, then vec_id, go on.
@@ -21,10 +21,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import doc_columns, mapped, small_batches, stored
+from .shared import doc_columns, mapped, small_batches, stored, trimmed
 
 SCALE = 64
 BLOCK = 4096
@@ -32,6 +33,8 @@ QUERY_BLOCK = 1024
 HEAD = 16
 #: Numbers that the vectors of a block have together at most: long vectors make blocks of fewer rows.
 VALUES = 1 << 20
+#: Ranges of vectors, at most, however many rows there are; a range makes any number of blocks.
+RANGES = 512
 #: Vectors up to this length have their whole Gram matrix summed, longer ones its products with so many random vectors.
 WHOLE = 256
 SKETCH = 24
@@ -111,26 +114,51 @@ def _widened(packed: bytes, rows: int) -> np.ndarray:
     return np.frombuffer(packed, dtype=chr(packed[0]), offset=1).astype(np.float64).reshape(rows, -1) if rows and len(packed) > 1 else np.zeros((rows, 0))
 
 
-def _pack(table: pa.Table) -> pa.Table:
-    """One row for all rows of a block."""
-    norms = table.column("norm").to_numpy()
-    order = np.lexsort((table.column("vec_id").to_numpy(), -norms))
-    table = table.take(pa.array(order))
-    return pa.table({"dim": table.column("dim").slice(0, 1), "block": table.column("block").slice(0, 1), "longest": pa.array([float(norms.max())]), "ids": pa.array([table.column("vec_id").to_numpy().tobytes()]), "vectors": pa.array([_shrunk(_stack(table.column("vector").to_pylist()))])})
+BLOCKS = "dim int, block long, longest double, ids binary, vectors binary"
+
+
+def _pack(block: int, table: pa.Table) -> pa.RecordBatch:
+    """One row for all rows of a block, which come by descending norm."""
+    row = [table.column("dim")[0].as_py(), block, table.column("norm")[0].as_py(), table.column("vec_id").to_numpy().tobytes(), _shrunk(_stack(table.column("vector").to_pylist()))]
+    return pa.record_batch([pa.array([x], type=t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.float64(), pa.binary(), pa.binary()), strict=True)], names=["dim", "block", "longest", "ids", "vectors"])
+
+
+def _cut(size: int, values: int):
+    """Blocks of a range's sorted rows, one after the other: what is held is a block and a batch."""
+
+    def most(dim: int) -> int:
+        return max(1, min(size, values // max(dim, 1)))
+
+    def each(batches):
+        held: list[pa.RecordBatch] = []
+        dim, count, block = None, 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            dims, at = batch.column(1).to_numpy(), 0
+            while at < len(dims):
+                if held and (dims[at] != dim or count >= most(dim)):
+                    yield _pack(block, pa.Table.from_batches(held))
+                    held, count, block = [], 0, block + 1
+                dim = int(dims[at])
+                others = np.flatnonzero(dims[at:] != dim)
+                n = min(int(others[0]) if len(others) else len(dims) - at, most(dim) - count)
+                held.append(batch.slice(at, n))
+                at, count = at + n, count + n
+        if held:
+            yield _pack(block, pa.Table.from_batches(held))
+        trimmed()
+
+    return each
 
 
 def _blocks(vectors: DataFrame, size: int) -> DataFrame:
-    """Rows (dim, block, longest, ids, vectors), blocks of about `size` rows, and VALUES numbers, by descending norm."""
+    """Rows (dim, block, longest, ids, vectors), blocks of `size` rows, and VALUES numbers, at most, by descending norm."""
     rows = F.greatest(F.lit(1), F.least(F.lit(size), F.floor(VALUES / F.greatest("dim", F.lit(1)))))
     n = vectors.groupBy("dim").agg(F.count("*").alias("n")).agg(F.max(F.ceil(F.col("n") / rows))).first()[0]
     if not n:
-        return vectors.sparkSession.createDataFrame([], "dim int, block int, longest double, ids binary, vectors binary")
-    ranged = vectors.repartitionByRange(n, F.col("dim"), F.col("norm").desc(), F.col("vec_id"))
-    ranged = stored(ranged.withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}), "ranged")
-    # A range may hold more than a block; it is cut row by row, so that a very frequent vector is spread too.
-    held = ranged.groupBy("dim", "part").agg(F.count("*").alias("n")).select("dim", "part", F.ceil(F.col("n") / rows).cast("int").alias("cut"))
-    cut = ranged.join(held, ["dim", "part"]).withColumn("block", F.hash("part", F.pmod("row", F.col("cut"))))
-    return cut.groupBy("dim", "block").applyInArrow(_pack, "dim int, block int, longest double, ids binary, vectors binary")
+        return vectors.sparkSession.createDataFrame([], BLOCKS)
+    # For each range Spark sends a few hundred keys to the driver. Ranges are cut row by row, so that a very frequent vector is spread too.
+    ranged = vectors.repartitionByRange(min(n, RANGES), F.col("dim"), F.col("norm").desc(), F.col("vec_id"))
+    return doc_columns(ranged.sortWithinPartitions(F.col("dim"), F.col("norm").desc(), F.col("vec_id")), "vec_id", "dim", "norm", "vector").mapInArrow(_cut(size, VALUES), BLOCKS)
 
 
 def best_in(query: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, floor_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, turn: np.ndarray, k: int):
@@ -181,6 +209,17 @@ def _scored(turns, k: int, seeded: bool):
     return each
 
 
+def grid(tasks: int, queries: int, candidates: int) -> tuple[int, int]:
+    """Rows and columns of a grid of about so many tasks for so many blocks: queries are copied to each row and candidates to each column, and all copies are fewest when both have as much."""
+    across = round((tasks * queries * QUERY_BLOCK / (max(1, candidates) * BLOCK)) ** 0.5)
+    across = max(1, min(across, queries, tasks))
+    return max(1, min(-(-tasks // across), candidates)), across
+
+
+def _each(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
 def _floors(batch: pa.RecordBatch):
     """The floors of a block's queries, and the lowest."""
     floors, floor_ids, lowest = [], [], []
@@ -212,7 +251,8 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     asked = stored(_blocks(queries, QUERY_BLOCK).withColumnsRenamed({"ids": "query_ids", "vectors": "queries", "longest": "q_longest"}), "queries")
 
     first = against.groupBy("dim").agg(F.max_by("block", "longest").alias("first"))
-    marked = against.join(first, "dim").withColumn("seed", F.col("block") == F.col("first"))
+    # A number for each length of vectors is sent to all; a shuffle by length would bring all candidates to a few tasks.
+    marked = against.join(F.broadcast(first), "dim").withColumn("seed", F.col("block") == F.col("first"))
     columns = ["dim", "query_ids", "queries", "floors", "floor_ids", "ids", "vectors"]
     scores = "query_id long, vec_id long, score long"
     none = F.lit(None).cast("binary")
@@ -222,16 +262,17 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     # The k-th by score, then vec_id: ~x turns the order of vec_id round.
     last = F.min(F.struct("score", F.bitwise_not("vec_id").alias("turned"))).alias("last")
     low = seeded.groupBy("query_id").agg(last, F.count("*").alias("n")).filter(F.col("n") >= k).select("query_id", F.col("last.score").alias("low"), F.bitwise_not("last.turned").alias("low_id"))
-    listed = mapped(asked, ["dim", "block", "query_ids"], "dim int, block int, query_id long", _opened)
+    listed = mapped(asked, ["dim", "block", "query_ids"], "dim int, block long, query_id long", _opened)
     by_block = listed.join(low, "query_id").groupBy("dim", "block").agg(*[F.collect_list(c).alias(c) for c in ("query_id", "low", "low_id")])
     wide = asked.join(by_block, ["dim", "block"], "left")
-    floored = mapped(wide, ["dim", "block", "q_longest", "query_ids", "queries", "query_id", "low", "low_id"], "dim int, block int, q_longest double, query_ids binary, queries binary, floors binary, floor_ids binary, lowest double", _floors)
-    # Candidates go to one slot each and query blocks to all, so that no task has all pairs; the bound decides which pairs are made.
-    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    there = floored.withColumnRenamed("block", "query_block").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    here = marked.filter("NOT seed").withColumn("slot", F.pmod("block", F.lit(slots)))
+    floored = mapped(wide, ["dim", "block", "q_longest", "query_ids", "queries", "query_id", "low", "low_id"], "dim int, block long, q_longest double, query_ids binary, queries binary, floors binary, floor_ids binary, lowest double", _floors)
+    # Tasks are a grid: a block of candidates goes to one row and all its columns, a block of queries to one column and all its rows; the bound decides
+    # which pairs are made. The copies are shuffled and never broadcast, as they may be many where the queries are few.
+    down, across = grid(int(spark.conf.get("spark.sql.shuffle.partitions")), asked.count(), against.count())
+    there = floored.withColumnRenamed("block", "query_block").withColumn("column", F.pmod(F.hash("query_block"), F.lit(across))).withColumn("slot", _each(down)).hint("merge")
+    here = marked.filter("NOT seed").withColumn("slot", F.pmod(F.hash("block"), F.lit(down))).withColumn("column", _each(across))
     reaches = F.col("q_longest") * F.col("longest") * (1 + 1e-9) + 1e-6 >= F.col("lowest")
-    rest = there.alias("q").join(here.alias("c"), (F.col("q.dim") == F.col("c.dim")) & (F.col("q.slot") == F.col("c.slot")) & reaches).select("q.dim", "query_ids", "queries", "floors", "floor_ids", "ids", "vectors")
+    rest = there.alias("q").join(here.alias("c"), (F.col("q.dim") == F.col("c.dim")) & (F.col("q.slot") == F.col("c.slot")) & (F.col("q.column") == F.col("c.column")) & reaches).select("q.dim", "query_ids", "queries", "floors", "floor_ids", "ids", "vectors")
     others = mapped(rest, columns, scores, _scored(turns, k, True))
 
     own = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
@@ -241,4 +282,4 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
 def _opened(batch: pa.RecordBatch):
     for dim, block, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
         ids = np.frombuffer(ids, dtype=np.int64)
-        yield pa.record_batch([pa.array([dim] * len(ids), type=pa.int32()), pa.array([block] * len(ids), type=pa.int32()), pa.array(ids)], names=["dim", "block", "query_id"])
+        yield pa.record_batch([pa.array([dim] * len(ids), type=pa.int32()), pa.array([block] * len(ids), type=pa.int64()), pa.array(ids)], names=["dim", "block", "query_id"])
