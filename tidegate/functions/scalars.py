@@ -16,6 +16,11 @@ def saturating_add(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_add(a, b), F.when(a.isNotNull() & b.isNotNull(), held))
 
 
+def saturated(x: Column) -> Column:
+    """A whole decimal as long, held at the ends of the long range."""
+    return F.when(x > LONG_MAX, F.lit(LONG_MAX)).when(x < LONG_MIN, F.lit(LONG_MIN)).otherwise(x.cast("bigint"))
+
+
 def saturating_multiply(a: Column, b: Column) -> Column:
     held = F.when((a > 0) == (b > 0), F.lit(LONG_MAX)).otherwise(F.lit(LONG_MIN))
     return F.coalesce(F.try_multiply(a, b), F.when(a.isNotNull() & b.isNotNull(), held))
